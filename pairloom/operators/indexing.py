@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.functions.text import ColumnOrName, col
@@ -10,16 +13,22 @@ from pairloom.session import shared_dir
 OFFSET_BITS = 33
 
 
-def with_dense_index(df: DataFrame, *order_by: ColumnOrName, name: str = "index") -> DataFrame:
+def with_dense_index(df: DataFrame, *order_by: ColumnOrName, name: str = "index", hold: bool = False) -> DataFrame:
     """Add 0, 1, 2, ... in the given order.
 
     A range-partitioned sort spreads the rows, the checkpoint fixes them to their
     partitions, and each partition adds the number of rows before it. Only one count
     per partition meets in one task. The order must be total (end with a unique
     column) for the numbers to be repeatable and for equal values to spread.
+
+    The sort reads its input twice, once to sample the ranges. ``hold=True`` keeps the
+    rows in between, for narrow rows that were dear to compute.
     """
     shared_dir(df.sparkSession)
-    ordered = df.orderBy(*[col(c) for c in order_by]).checkpoint()
+    source = df.persist(StorageLevel.MEMORY_AND_DISK) if hold else df
+    ordered = source.orderBy(*[col(c) for c in order_by]).checkpoint()
+    if hold:
+        source.unpersist()
     place = F.monotonically_increasing_id()
     placed = ordered.withColumns(
         {"_part": F.shiftright(place, OFFSET_BITS), "_at": place.bitwiseAND(F.lit((1 << OFFSET_BITS) - 1))}
@@ -34,6 +43,22 @@ def with_dense_index(df: DataFrame, *order_by: ColumnOrName, name: str = "index"
     )
 
 
+def with_group_index(
+    df: DataFrame, by: Sequence[str], *order_by: ColumnOrName, name: str = "index", hold: bool = False
+) -> DataFrame:
+    """Add 0, 1, 2, ... within each group, without a task per group.
+
+    Groups and their rows are sorted together, so a large group spans many tasks; the
+    number is the distance from the group's first row.
+    """
+    indexed = with_dense_index(df, *by, *order_by, name="_at_all", hold=hold)
+    firsts = indexed.groupBy(*by).agg(F.min("_at_all").alias("_first"))
+    other = firsts.toDF(*[f"_by{i}" for i in range(len(by))], "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    placed = indexed.join(other, same)
+    return placed.select(*df.columns, (F.col("_at_all") - F.col("_first")).alias(name))
+
+
 # Hex digits resolved per pass, and the bucket size that is read out at the end.
 RADIX_DIGITS = 4
 READ_OUT = 10_000

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -107,8 +109,8 @@ class ByRule:
     block: int = 1000
     hedge: str = wording.HEDGE
 
-    def prepare(self, df: DataFrame, key: str) -> DataFrame:
-        needed = (F.col("_first") == ADD_IRRELEVANT) | (F.col("_other") == ADD_IRRELEVANT)
+    def prepare(self, df: DataFrame, key: str, *hows: str) -> DataFrame:
+        needed = reduce(or_, [F.col(h).eqNullSafe(ADD_IRRELEVANT) for h in hows])
         return with_spare_sentence(df, "chosen", needed, key, "topic", self.block, "_spare")
 
     def reject(self, df: DataFrame, how: str, out: str, only: Column) -> DataFrame:
@@ -123,7 +125,7 @@ class ByModel:
     open_fn: Callable[[], Ask]
     templates: Mapping[str, str] | None = None
 
-    def prepare(self, df: DataFrame, key: str) -> DataFrame:
+    def prepare(self, df: DataFrame, key: str, *hows: str) -> DataFrame:
         return df
 
     def reject(self, df: DataFrame, how: str, out: str, only: Column) -> DataFrame:
@@ -183,25 +185,24 @@ def retry_weak(
 ) -> DataFrame:
     """One more try with the other strategy where the answers differ too little.
 
-    Expects ``chosen, rejected, degradation_strategy, quality_difference``; the second
-    answer is kept even if it is no worse than the first.
+    Expects ``prompt, chosen, rejected, degradation_strategy, quality_difference`` and adds
+    ``retried``; the second answer is kept even if it is no worse than the first.
     """
     if "_chosen_score" not in df.columns:
         df = df.withColumn("_chosen_score", answer_score("chosen", cfg))
     if "_other" not in df.columns:
-        df = df.withColumn("_other", other_strategy(key, "degradation_strategy"))
-    if isinstance(rejecter, ByRule) and "_spare" not in df.columns:
-        df = rejecter.prepare(df.withColumn("_first", F.col("degradation_strategy")), key)
-    weak = F.col("quality_difference") < cfg.weak_below
-    again = rejecter.reject(df.withColumn("_weak", weak), "_other", "_again", F.col("_weak"))
+        df = rejecter.prepare(df.withColumn("_other", other_strategy(key, "degradation_strategy")), key, "_other")
+    weak = df.withColumn("retried", F.col("quality_difference") < cfg.weak_below)
+    again = rejecter.reject(weak, "_other", "_again", F.col("retried"))
+    retried = F.col("retried")
     gap = clamped_gap("_chosen_score", answer_score("_again", cfg))
     return again.withColumns(
         {
-            "rejected": F.when(F.col("_weak"), F.col("_again")).otherwise(F.col("rejected")),
-            "degradation_strategy": F.when(F.col("_weak"), F.col("_other")).otherwise(F.col("degradation_strategy")),
-            "quality_difference": F.when(F.col("_weak"), gap).otherwise(F.col("quality_difference")),
+            "rejected": F.when(retried, F.col("_again")).otherwise(F.col("rejected")),
+            "degradation_strategy": F.when(retried, F.col("_other")).otherwise(F.col("degradation_strategy")),
+            "quality_difference": F.when(retried, gap).otherwise(F.col("quality_difference")),
         }
-    ).drop("_weak", "_again", "_other", "_spare", "_first", "_chosen_score")
+    ).drop("_again", "_other", "_spare", "_first", "_chosen_score")
 
 
 PREFERENCE_COLUMNS = [
@@ -223,7 +224,7 @@ def build_preferences(
         sft = sft.filter(F.col(key) < n)
     base = chosen_side(sft, key).withColumn("_first", strategy(key))
     base = base.withColumn("_other", other_strategy(key, "_first"))
-    tried = rejecter.reject(rejecter.prepare(base, key), "_first", "rejected", F.lit(True))
+    tried = rejecter.reject(rejecter.prepare(base, key, "_first", "_other"), "_first", "rejected", F.lit(True))
     tried = tried.withColumn("_chosen_score", answer_score("chosen", cfg)).withColumn(
         "quality_difference", clamped_gap("_chosen_score", answer_score("rejected", cfg))
     )

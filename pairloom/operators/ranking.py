@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairloom.operators.indexing import with_dense_index
+from pairloom.operators.indexing import with_dense_index, with_group_index
 
 # Up to this many rows an ordered limit ends in one task; beyond it, or per group, the
 # rank comes from the distributed sort.
@@ -20,14 +20,15 @@ def ranked_by(score: str, tie: str) -> tuple[Column, Column]:
 
 def rank(df: DataFrame, score: str = "score", tie: str = "pair_id", name: str = "rank") -> DataFrame:
     """Rank 1, 2, ... by descending score; equal scores keep input order (``tie``)."""
-    return with_dense_index(df, *ranked_by(score, tie), name=name).withColumn(name, F.col(name) + 1)
+    return with_dense_index(df, *ranked_by(score, tie), name=name, hold=True).withColumn(name, F.col(name) + 1)
 
 
 def top_n(df: DataFrame, n: int, score: str = "score", tie: str = "pair_id") -> DataFrame:
     """Best ``n`` rows. Give it narrow rows and join the texts back afterwards."""
     if n <= TOP_K_LIMIT:
         return df.orderBy(*ranked_by(score, tie)).limit(n)
-    return with_dense_index(df, *ranked_by(score, tie), name="_rank").filter(F.col("_rank") < n).drop("_rank")
+    indexed = with_dense_index(df, *ranked_by(score, tie), name="_rank", hold=True)
+    return indexed.filter(F.col("_rank") < n).drop("_rank")
 
 
 def top_n_per(
@@ -44,11 +45,8 @@ def top_n_per(
     if n <= GROUP_LIMIT:
         window = Window.partitionBy(*by).orderBy(*ranked_by(score, tie))
         return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
-    indexed = with_dense_index(df, *by, *ranked_by(score, tie), name="_at")
-    firsts = indexed.groupBy(*by).agg(F.min("_at").alias("_first"))
-    same = [indexed[c].eqNullSafe(firsts[c]) for c in by]
-    placed = indexed.join(firsts, same).select(indexed["*"], (F.col("_at") - F.col("_first") + 1).alias(name))
-    return placed.filter(F.col(name) <= n).drop("_at")
+    indexed = with_group_index(df, by, *ranked_by(score, tie), name=name, hold=True)
+    return indexed.withColumn(name, F.col(name) + 1).filter(F.col(name) <= n)
 
 
 def first_n(df: DataFrame, n: int, key: str = "sft_index", dense: bool = True) -> DataFrame:

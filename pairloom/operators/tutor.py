@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairloom import fixed, wording
 from pairloom.functions.text import or_empty, render
 from pairloom.functions.tutoring import assessment_outcome, level_to_difficulty
+from pairloom.operators.indexing import with_group_index
 
-# Consecutive event ids per profile part: the bound on what one group collects.
-BLOCK = 10_000
+# Entries per profile part: the bound on what one group collects.
+BLOCK = 100_000
 
 
 def request_prompts(
@@ -52,27 +53,56 @@ def request_prompts(
     )
 
 
-def profile_part(event_id: str = "event_id", block: int = BLOCK) -> Column:
-    return F.floor(F.col(event_id) / block).alias("part")
-
-
 def student_profiles(events: DataFrame, block: int = BLOCK) -> DataFrame:
     """Mastered and weak topics per student in order of arrival, duplicates kept.
 
     ``events``: ``student_id, event_id, topic, assessment``, with ``event_id`` unique and
-    rising on arrival. A profile comes in parts of ``block`` consecutive event ids, so one
-    very active student neither meets in a single task nor outgrows a row; the parts of
-    a student, in order, are the whole lists.
+    rising on arrival. One row (``part`` 0) holds up to ``block`` graded entries. A
+    student with more gets further parts, numbered by the entry's place in the student's
+    sequence; that place comes from a sort of all such entries together, so no task and
+    no row ever holds a whole long history.
     """
+    graded = events.select("student_id", "event_id", "topic", assessment_outcome("assessment").alias("outcome"))
+    entries = graded.filter(F.col("outcome").isNotNull())
+    busy = entries.groupBy("student_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
+    if busy.isEmpty():
+        return graded.groupBy("student_id").agg(
+            F.max_by("topic", "event_id").alias("current_topic"), *_topic_lists()
+        ).select("student_id", F.lit(0).cast("bigint").alias("part"), "current_topic", *LISTS)
+
+    placed = with_group_index(entries.join(busy, "student_id", "left_semi"), ["student_id"], "event_id", name="_at")
+    parts = placed.withColumn("part", F.floor(F.col("_at") / block)).drop("_at")
+    rest = entries.join(busy, "student_id", "left_anti").withColumn("part", F.lit(0).cast("bigint"))
+    lists = rest.unionByName(parts).groupBy("student_id", "part").agg(*_topic_lists())
+    current = graded.groupBy("student_id").agg(F.max_by("topic", "event_id").alias("current_topic"))
+    none = F.array().cast("array<string>")
+    return current.join(lists, "student_id", "left").select(
+        "student_id",
+        F.coalesce("part", F.lit(0)).alias("part"),
+        "current_topic",
+        *[F.coalesce(c, none).alias(c) for c in LISTS],
+    )
+
+
+LISTS = ["mastered_topics", "weak_topics"]
+
+
+def _topic_lists() -> list[Column]:
     entry = F.struct("event_id", "topic")
-    listed = events.withColumns({"part": profile_part(block=block), "_outcome": assessment_outcome("assessment")})
 
     def topics(outcome: str) -> Column:
-        entries = F.collect_list(F.when(F.col("_outcome") == outcome, entry))
+        entries = F.collect_list(F.when(F.col("outcome") == outcome, entry))
         return F.transform(F.array_sort(entries), lambda e: e["topic"])
 
-    return listed.groupBy("student_id", "part").agg(
+    return [topics("mastered").alias(LISTS[0]), topics("weak").alias(LISTS[1])]
+
+
+def student_progress(events: DataFrame) -> DataFrame:
+    """The short form of a profile, one row per student: the current topic and how many
+    entries the two lists have. It needs no list, so it also runs as a stream's state."""
+    outcome = assessment_outcome("assessment")
+    return events.groupBy("student_id").agg(
         F.max_by("topic", "event_id").alias("current_topic"),
-        topics("mastered").alias("mastered_topics"),
-        topics("weak").alias("weak_topics"),
+        F.count_if(outcome == "mastered").alias("n_mastered"),
+        F.count_if(outcome == "weak").alias("n_weak"),
     )

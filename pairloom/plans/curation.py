@@ -27,9 +27,12 @@ def best_pairs(
     """
     scored = score_pairs(sft, pref, cfg, key, keep=(per,) if per else ())
     if gated:
-        scored = scored.filter("sft_ok AND preference_ok")
+        # Positive exactly where both gates pass. Said of the joined row, the filter stays
+        # above the join; a filter on one side's gate would move below the features and
+        # have Spark work them out twice.
+        scored = scored.filter("quality > 0")
     if per:
-        return top_n_per(scored, per, n).select("pair_id", "score", "rank")
+        return top_n_per(scored.select("pair_id", "score", per), per, n).select("pair_id", "score", "rank")
     return top_n(scored.select("pair_id", "score"), n)
 
 
@@ -47,10 +50,11 @@ def curate_pairs(
     The ids of the kept pairs go back to both tables, so only kept texts are joined to
     each other. They are broadcast where ``n`` bounds their number.
     """
-    kept = best_pairs(sft, pref, n, cfg, gated, per, key)
+    kept = best_pairs(sft, pref, n, cfg, gated, per, key).select("pair_id", "score")
     if per is None and n <= TOP_K_LIMIT:
         kept = F.broadcast(kept)
     left = sft.select(F.col(key).alias("pair_id"), F.struct("*").alias("sft")).join(kept, "pair_id")
     right = pref.select(F.col(key).alias("pair_id"), F.struct("*").alias("preference"))
-    right = right.join(kept, "pair_id").select("pair_id", "preference")
-    return left.join(right, "pair_id")
+    # Both sides carry the score, so both use the very same plan of ``kept`` and Spark
+    # runs it once.
+    return left.join(right.join(kept, "pair_id"), ["pair_id", "score"])

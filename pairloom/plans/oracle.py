@@ -257,9 +257,9 @@ WEAK = second_try(
     "spared",
     f"coalesce({weakened('chosen', 'how2', 'spare')}, {FALLBACK})",
     f"""{FX},
-weak_only AS (SELECT *, {STRATEGY} AS how1, {other(STRATEGY)} AS how2, quality_difference AS d1, rejected AS rejected1
-              FROM fx_pref WHERE quality_difference < {num(fixed.WEAK_DIFFERENCE)}),
-spared AS (SELECT sft_index, prompt, chosen, how1, how2, d1, rejected1, {spare_of('chosen')} AS spare FROM weak_only)""",
+first_pref AS (SELECT *, {STRATEGY} AS how1, {other(STRATEGY)} AS how2, quality_difference AS d1, rejected AS rejected1
+              FROM fx_pref),
+spared AS (SELECT sft_index, prompt, chosen, how1, how2, d1, rejected1, {spare_of('chosen')} AS spare FROM first_pref)""",
 )
 
 # ---- templates ----
@@ -408,10 +408,13 @@ def by_command(values: dict[str, str]) -> str:
 
 AGENT = by_command({k: q(a) for k, (a, _) in fixed.AGENTS.items()})
 GRADED = "SELECT user_id AS student_id, event_id, event_type AS topic, value >= 30 AS good, value < 5 AS bad FROM events"
-PROFILES = f"""SELECT student_id, event_id // 10000 AS part, arg_max(topic, event_id) AS current_topic,
+PROFILES = f"""SELECT student_id, 0::BIGINT AS part, arg_max(topic, event_id) AS current_topic,
    coalesce(string_agg(topic, ',' ORDER BY event_id) FILTER (WHERE good), '') AS mastered_topics,
    coalesce(string_agg(topic, ',' ORDER BY event_id) FILTER (WHERE bad), '') AS weak_topics
-   FROM ({GRADED}) GROUP BY 1, 2"""
+   FROM ({GRADED}) GROUP BY 1"""
+
+PROGRESS = f"""SELECT student_id, arg_max(topic, event_id) AS current_topic, count(*) FILTER (WHERE good) AS n_mastered,
+   count(*) FILTER (WHERE bad) AS n_weak FROM ({GRADED}) GROUP BY 1"""
 
 SCORE_PARTS = with_(SCORED, f"SELECT pair_id, sft_ok, preference_ok, {SCORE_COLUMNS} FROM scored")
 
@@ -534,7 +537,7 @@ ORACLES: dict[str, str] = {
         round(quality_difference, 6) AS quality_difference FROM fx_pref""",
     ),
     "weak_pairs": with_(
-        WEAK, "SELECT sft_index, degradation_strategy, rejected, round(quality_difference, 6) AS quality_difference FROM kept"
+        WEAK, "SELECT weak AS retried, sft_index, degradation_strategy, rejected, round(quality_difference, 6) AS quality_difference FROM kept"
     ),
     "criteria_sample": with_(
         f"{FX}, sampled AS (SELECT sft_index, {CRITERIA} AS names FROM fx_sft)",
@@ -616,4 +619,6 @@ ORACLES: dict[str, str] = {
     ),
     "student_profiles": PROFILES,
     "stream_profiles": PROFILES,
+    "student_progress": PROGRESS,
+    "stream_progress": PROGRESS,
 }

@@ -372,9 +372,8 @@ def answer_quality(spark, sf):
 def weak_pairs(spark, sf):
     """Pairs that get a second try, and what comes of it."""
     pref = fx.preferences(spark, sf).withColumn("degradation_strategy", preferences.strategy("sft_index"))
-    weak = pref.filter(F.col("quality_difference") < fx.ANSWERS.weak_below)
-    again = preferences.retry_weak(weak, preferences.ByRule(), cfg=fx.ANSWERS)
-    return again.select("sft_index", "degradation_strategy", "rejected", r6("quality_difference").alias("quality_difference"))
+    again = preferences.retry_weak(pref, preferences.ByRule(), cfg=fx.ANSWERS)
+    return again.select("retried", "sft_index", "degradation_strategy", "rejected", r6("quality_difference").alias("quality_difference"))
 
 
 @query
@@ -542,25 +541,41 @@ def student_profiles(spark, sf):
     return _listed(tutor.student_profiles(fx.assessments(fx.table(spark, sf, "events"))))
 
 
+@query
+def student_progress(spark, sf):
+    return tutor.student_progress(fx.assessments(fx.table(spark, sf, "events")))
+
+
 # ---- streams -----------------------------------------------------------------------------------
 
 
-def _arriving(spark, sf, name):
+def _arriving(spark, sf, name, spread_by):
+    """The table as a stream of files; a single small file is spread like a table."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    files_ = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return files_.repartition(spark.sparkContext.defaultParallelism, spread_by)
 
 
 @query
 def stream_scores(spark, sf):
     out = fresh_dir(spark, "scores")
-    pairs = fx.as_pairs(_arriving(spark, sf, "documents"))
+    pairs = fx.as_pairs(_arriving(spark, sf, "documents", "doc_id"))
     scores.stream_scores(pairs, f"{out}/rows", f"{out}/progress", fx.SCORING).awaitTermination()
     return rounded(spark.read.parquet(f"{out}/rows"), *pairing.SCORES)
 
 
 @query
 def stream_profiles(spark, sf):
+    """Events logged as they arrive; the profiles are read from the log."""
     out = fresh_dir(spark, "profiles")
-    events = fx.assessments(_arriving(spark, sf, "events"))
+    events = fx.assessments(_arriving(spark, sf, "events", "event_id"))
+    profiles.stream_assessments(events, f"{out}/log", f"{out}/progress").awaitTermination()
+    return _listed(tutor.student_profiles(spark.read.parquet(f"{out}/log")))
+
+
+@query
+def stream_progress(spark, sf):
+    out = fresh_dir(spark, "progress")
+    events = fx.assessments(_arriving(spark, sf, "events", "event_id"))
     profiles.stream_profiles(events, f"{out}/rows", f"{out}/progress").awaitTermination()
-    return _listed(profiles.read_profiles(spark, f"{out}/rows"))
+    return profiles.read_progress(spark, f"{out}/rows")

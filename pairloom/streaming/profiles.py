@@ -2,65 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
-
-from pairloom.functions.tutoring import assessment_outcome
-from pairloom.operators.tutor import BLOCK, profile_part
-
-LISTS = "mastered_ids array<bigint>, mastered array<string>, weak_ids array<bigint>, weak array<string>"
-STATE = f"version bigint, last_id bigint, last_topic string, {LISTS}"
-CHANGE = (
-    "student_id bigint, part bigint, version bigint, current_topic string, "
-    "mastered_topics array<string>, weak_topics array<string>"
-)
-EMPTY = (0, -1, None, [], [], [], [])
 
+from pairloom.operators.tutor import student_progress
 
-def _merge(ids: list[int], topics: list[str], new: pd.DataFrame) -> tuple[list[int], list[str]]:
-    """Both lists in order of event id."""
-    pairs = sorted([*zip(ids, topics), *zip(new["event_id"].tolist(), new["topic"].tolist())], key=lambda p: p[0])
-    return [i for i, _ in pairs], [t for _, t in pairs]
+PROGRESS = "batch bigint, student_id bigint, current_topic string, n_mastered bigint, n_weak bigint"
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    version, last_id, last_topic, m_ids, m_topics, w_ids, w_topics = state.get if state.exists else EMPTY
-    for rows in batches:
-        latest = rows.loc[rows["event_id"].idxmax()]
-        if latest["event_id"] > last_id:
-            last_id, last_topic = int(latest["event_id"]), latest["topic"]
-        m_ids, m_topics = _merge(m_ids, m_topics, rows[rows["outcome"] == "mastered"])
-        w_ids, w_topics = _merge(w_ids, w_topics, rows[rows["outcome"] == "weak"])
-    state.update((version + 1, last_id, last_topic, m_ids, m_topics, w_ids, w_topics))
-    yield pd.DataFrame(
-        [(*key, version + 1, last_topic, m_topics, w_topics)],
-        columns=["student_id", "part", "version", "current_topic", "mastered_topics", "weak_topics"],
-    )
-
+def stream_assessments(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the arrived events to the log that ``student_profiles`` reads.
 
-def stream_profiles(events: DataFrame, path: str, checkpoint: str, block: int = BLOCK) -> StreamingQuery:
-    """Append the new version of every profile part that the arrived events touch.
-
-    The state is kept per student and block of event ids, as in ``student_profiles``:
-    at most ``block`` entries per key, however active the student. ``read_profiles``
-    gives the latest versions.
+    The two topic lists of a profile grow without end, and one student may hold a third
+    of all events, so the lists live in this table and not in a task's state.
     """
-    arrived = events.select(
-        "student_id",
-        profile_part(block=block),
-        "event_id",
-        "topic",
-        assessment_outcome("assessment").alias("outcome"),
-    )
-    changes = arrived.groupBy("student_id", "part").applyInPandasWithState(
-        _update, CHANGE, STATE, "append", "NoTimeout"
-    )
     return (
-        changes.writeStream.format("parquet")
+        events.select("student_id", "event_id", "topic", "assessment")
+        .writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
@@ -69,12 +27,29 @@ def stream_profiles(events: DataFrame, path: str, checkpoint: str, block: int =
     )
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Latest version of each profile part. The lists themselves are not sorted or compared."""
-    changes = spark.read.schema(CHANGE).parquet(path)
-    row = F.struct("current_topic", "mastered_topics", "weak_topics")
+def stream_profiles(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep current topic and list lengths per student as state; write what changed.
+
+    The state is a few numbers per student. Each task first folds its own events, so a
+    very active student sends one row per task to its key. A batch writes to its own
+    folder and overwrites it when it runs again, so a retry leaves nothing twice.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
     return (
-        changes.groupBy("student_id", "part")
-        .agg(F.max_by(row, "version").alias("row"))
-        .select("student_id", "part", "row.*")
+        student_progress(events)
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
     )
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The latest row per student."""
+    row = F.struct("current_topic", "n_mastered", "n_weak")
+    changes = spark.read.schema(PROGRESS).parquet(path)
+    return changes.groupBy("student_id").agg(F.max_by(row, "batch").alias("row")).select("student_id", "row.*")
