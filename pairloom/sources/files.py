@@ -56,7 +56,7 @@ def read_json_array(
     pad = " " * indent
     pieces = spark.read.option("lineSep", f"\n{pad}}},\n{pad}{{\n").text(path)
     # Every piece is the body of one object; only the first and last carry the brackets.
-    body = F.regexp_replace("value", r"\A\s*\[\s*\{\n|\n\s*\}\s*\]\s*\z", "")
+    body = F.regexp_replace("value", rf"\A\s*\[\n{pad}\{{\n|\n{pad}\}}\n\]\s*\z", "")
     lines = pieces.filter(~F.col("value").rlike(r"\A\s*\[\s*\]\s*\z"))
     parsed = _parsed(lines.select(F.concat(F.lit("{"), body, F.lit("}")).alias("value")), struct)
     whole = F.when(
