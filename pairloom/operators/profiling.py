@@ -44,8 +44,10 @@ def distribution(
     if order_key:
         aggs.append(F.min("_at").alias("first_seen"))
     counts = source.groupBy("value").agg(*aggs)
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.withColumn("pct", F.col("n") * 100.0 / total)
+    # The subquery uses every column of ``counts``, so it is the same plan and runs once.
+    rest = [F.max(c) for c in counts.columns[2:]]
+    total = counts.agg(F.struct(F.sum("n").alias("n"), *rest).alias("t")).scalar()
+    return counts.withColumn("pct", F.col("n") * 100.0 / total["n"])
 
 
 def by_frequency(dist: DataFrame) -> DataFrame:

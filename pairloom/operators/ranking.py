@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.operators.indexing import with_dense_index, with_group_index
 
-# Up to this many rows an ordered limit ends in one task; beyond it, or per group, the
-# rank comes from the distributed sort.
-TOP_K_LIMIT = 100_000
-GROUP_LIMIT = 10_000
+# An ordered limit ends in one task that sees ``n`` narrow rows from every other task, and
+# so does the window of a large group. Beyond these the rank comes from a distributed sort.
+TOP_K_LIMIT = 10_000
+GROUP_LIMIT = 1_000
 
 
 def ranked_by(score: str, tie: str) -> tuple[Column, Column]:
@@ -50,7 +50,19 @@ def top_n_per(
 
 
 def first_n(df: DataFrame, n: int, key: str = "sft_index", dense: bool = True) -> DataFrame:
-    """First ``n`` rows by key. With a dense key this is a filter the scan can use."""
+    """First ``n`` rows by a unique key.
+
+    With a dense key this is a plain filter. Otherwise the key of the ``n``-th row is
+    looked up from the key column alone; either way the rows are only compared with a
+    value, which the scan can use, and never sorted.
+    """
     if dense:
         return df.filter(F.col(key) < n)
-    return with_dense_index(df, key, name="_at").filter(F.col("_at") < n).drop("_at")
+    if n <= 0:
+        return df.limit(0)
+    keys = df.select(key)
+    if n <= TOP_K_LIMIT:
+        last = keys.orderBy(key).limit(n).agg(F.max(key)).scalar()
+    else:
+        last = with_dense_index(keys, key, name="_at").filter(F.col("_at") < n).agg(F.max(key)).scalar()
+    return df.filter(F.col(key) <= last)

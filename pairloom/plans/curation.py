@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from pairloom import fixed
 from pairloom.config import ScoreConfig
 from pairloom.operators.pairing import score_pairs
-from pairloom.operators.ranking import TOP_K_LIMIT, top_n, top_n_per
+from pairloom.operators.ranking import top_n, top_n_per
+
+# Ids and scores of this many pairs, 16 bytes each, are sent to every executor.
+BROADCAST_IDS = 1_000_000
 
 
 def best_pairs(
@@ -51,7 +54,7 @@ def curate_pairs(
     each other. They are broadcast where ``n`` bounds their number.
     """
     kept = best_pairs(sft, pref, n, cfg, gated, per, key).select("pair_id", "score")
-    if per is None and n <= TOP_K_LIMIT:
+    if per is None and n <= BROADCAST_IDS:
         kept = F.broadcast(kept)
     left = sft.select(F.col(key).alias("pair_id"), F.struct("*").alias("sft")).join(kept, "pair_id")
     right = pref.select(F.col(key).alias("pair_id"), F.struct("*").alias("preference"))

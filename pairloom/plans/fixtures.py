@@ -25,14 +25,17 @@ TOPIC_SOURCES = {
 }
 
 
+def spread(df: DataFrame, static: DataFrame, by: str) -> DataFrame:
+    """A file of a single row group is one task, whatever its size: below the cluster's
+    parallelism the rows are spread before the work on the texts. Larger inputs are not
+    moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if static.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A given table. A file of a single row group is one task, whatever its size: below
-    the cluster's parallelism the rows are spread before the work on the texts."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, spread_by)
-    return df
+    return spread(df, df, spread_by) if spread_by else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,8 +127,7 @@ parts AS (SELECT *,
 scored AS (SELECT *, quality * {num(.3)} + relevance * {num(.25)} + diversity * {num(.25)} + difficulty_score * {num(.2)} AS score FROM parts),
 topk AS (SELECT * FROM scored ORDER BY score DESC, pair_id LIMIT {TOP})"""
 
-FLAT = """pair_id, round(score, 6) AS score, topic, difficulty, instruction, input, output, rejected,
-round(quality_difference, 6) AS quality_difference"""
+FLAT = "pair_id, round(score, 6) AS score, topic, difficulty, instruction, input, output, rejected"
 SCORE_COLUMNS = ", ".join(f"round({c}, 6) AS {c}" for c in ("quality", "relevance", "diversity", "difficulty_score", "score"))
 
 
@@ -445,6 +444,7 @@ ORACLES: dict[str, str] = {
     "positional_pairs": """SELECT pos AS pair_id, doc_id, label_id FROM
         (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS pos FROM documents)
         JOIN (SELECT doc_id AS label_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS pos FROM labels) USING (pos)""",
+    "first_rows": f"SELECT * FROM labels ORDER BY doc_id LIMIT {TOP_PER_TOPIC}",
     "resume_hwm": "SELECT doc_id AS sft_index, lang FROM documents WHERE doc_id > (SELECT max(doc_id) FROM labels WHERE quality = 0)",
     "resume_by_key": "SELECT doc_id AS sft_index, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "resume_fresh_ids": """SELECT unnest(range((SELECT max(doc_id) + 1 FROM labels), (SELECT max(doc_id) + 1 FROM labels)
@@ -603,6 +603,11 @@ ORACLES: dict[str, str] = {
         CASE WHEN failed THEN {q(fixed.FAILED_VERDICT)} WHEN NOT valid THEN 'invalid verdict' END AS error,
         CASE WHEN NOT failed THEN first_total END AS sft_total, CASE WHEN NOT failed THEN second_total END AS dpo_total FROM results""",
     ),
+    "inference_prompts": with_(
+        FX,
+        f"""SELECT sft_index, {q(S + 'user')} || chr(10) || instruction || CASE WHEN input <> '' THEN chr(10) || input ELSE '' END
+        || {q(E)} || chr(10) || {q(S + 'assistant')} || chr(10) AS prompt FROM fx_sft""",
+    ),
     "eval_size_check": f"""SELECT 'minimum_rows' AS "check", {fixed.MIN_EVAL_ROWS}::BIGINT AS expected, count(*) AS actual,
         count(*) >= {fixed.MIN_EVAL_ROWS} AS ok FROM benchmark""",
     "request_prompts": with_(

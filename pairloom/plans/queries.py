@@ -54,7 +54,6 @@ def _flat(pairs: DataFrame, *extra: str) -> DataFrame:
         F.col("sft.input").alias("input"),
         F.col("sft.output").alias("output"),
         F.col("preference.rejected").alias("rejected"),
-        r6("preference.quality_difference").alias("quality_difference"),
     )
 
 
@@ -120,6 +119,12 @@ def positional_pairs(spark, sf):
     )
 
 
+@query
+def first_rows(spark, sf):
+    """The first rows by a key with gaps."""
+    return ranking.first_n(fx.table(spark, sf, "labels"), TOP_PER_TOPIC, "doc_id", dense=False)
+
+
 # ---- continue modes ---------------------------------------------------------------
 
 
@@ -498,6 +503,12 @@ def eval_results(spark, sf):
     )
 
 
+@query
+def inference_prompts(spark, sf):
+    items = fx.sft(spark, sf)
+    return items.select("sft_index", prompts.chat_prompt(prompts.eval_prompt("instruction", "input")).alias("prompt"))
+
+
 @query
 def eval_size_check(spark, sf):
     return profiling.warn_small(fx.table(spark, sf, "benchmark"), fixed.MIN_EVAL_ROWS)
@@ -550,10 +561,10 @@ def student_progress(spark, sf):
 
 
 def _arriving(spark, sf, name, spread_by):
-    """The table as a stream of files; a single small file is spread like a table."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    files_ = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-    return files_.repartition(spark.sparkContext.defaultParallelism, spread_by)
+    """The table as a stream of files, spread like the table itself."""
+    static = spark.read.parquet(f"{sf}/{name}.parquet")
+    files_ = spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return fx.spread(files_, static, spread_by)
 
 
 @query

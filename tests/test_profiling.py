@@ -67,3 +67,15 @@ def test_validation(spark):
     assert got == {"same_count": (5, 4, False), "target_count": (5, 5, True)}
     assert [r.check for r in profiling.validate(a, a, None).collect()] == ["same_count"]
     assert profiling.warn_small(b, 5).first().ok is False
+
+
+def test_percent_needs_no_second_scan(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for dist in (
+        profiling.distribution(docs, "source", "Unknown", "doc_id"),
+        profiling.distribution(docs, "source"),
+        profiling.dataset_profile(docs, {"source": "Unknown", "lang": "Unknown"}),
+    ):
+        dist.collect()
+        final = dist._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ReusedExchange" in final

@@ -55,10 +55,13 @@ def test_top_n_per_group_both_ways(scored, monkeypatch, n):
     assert small == large == expected
 
 
-def test_first_n(spark):
+def test_first_n(spark, monkeypatch):
     df = spark.createDataFrame([(i,) for i in (5, 0, 9, 2, 7)], "sft_index long")
     assert sorted(r[0] for r in ranking.first_n(df, 6).collect()) == [0, 2, 5]
-    assert sorted(r[0] for r in ranking.first_n(df, 4, dense=False).collect()) == [0, 2, 5, 7]
+    for limit in (ranking.TOP_K_LIMIT, -1):
+        monkeypatch.setattr(ranking, "TOP_K_LIMIT", limit)
+        for n, expected in ((0, []), (4, [0, 2, 5, 7]), (9, [0, 2, 5, 7, 9])):
+            assert sorted(r[0] for r in ranking.first_n(df, n, dense=False).collect()) == expected
 
 
 def test_curate_keeps_both_sides_together(spark, sf, monkeypatch):
@@ -69,7 +72,7 @@ def test_curate_keeps_both_sides_together(spark, sf, monkeypatch):
     assert {r[0] for r in left.select("sft_index").collect()} == {r[0] for r in right.select("sft_index").collect()}
     assert left.columns == sft.columns and right.columns == pref.columns
     monkeypatch.setattr(ranking, "TOP_K_LIMIT", 10)
-    monkeypatch.setattr(curation, "TOP_K_LIMIT", 10)
+    monkeypatch.setattr(curation, "BROADCAST_IDS", 10)
     again = curation.curate_pairs(sft, pref, 50, fx.SCORING)
     assert {r[0] for r in again.select("pair_id").collect()} == {r[0] for r in kept.select("pair_id").collect()}
 
