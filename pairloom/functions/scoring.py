@@ -15,18 +15,16 @@ from pairloom.functions.text import (
     contains_any,
     count_contains,
     let,
-    length_between,
     not_blank,
     or_empty,
-    sentence_count,
+    sentence_count_to,
     words,
 )
 
 
 def step(index: Column, *values: float) -> Column:
-    """Value by a count clamped to the table's end; the count is evaluated once."""
-    table = F.array(*[F.lit(float(v)) for v in values])
-    return F.get(table, F.least(index, F.lit(len(values) - 1)))
+    """Value by a count that runs to the table's end; the count is evaluated once."""
+    return F.get(F.array(*[F.lit(float(v)) for v in values]), index)
 
 
 def sft_text(at: str = "") -> Column:
@@ -43,35 +41,33 @@ def spaced(*cs: ColumnOrName) -> Column:
     return F.concat(*parts[1:])
 
 
-def text_gate(text: ColumnOrName, cfg: GateConfig, lowered: ColumnOrName | None = None) -> Column:
-    """Length in bounds and no blacklisted substring; ``lowered`` where it exists already."""
+def text_gate(
+    text: ColumnOrName, cfg: GateConfig, lowered: ColumnOrName | None = None, length: ColumnOrName | None = None
+) -> Column:
+    """Length in bounds and no blacklisted substring; ``lowered`` and ``length`` where they
+    exist already."""
 
     def gate(t: Column) -> Column:
+        n = F.length(t) if length is None else col(length)
         low = F.lower(t) if lowered is None else lowered
-        return length_between(t, cfg.min_len, cfg.max_len) & ~contains_any(low, cfg.blacklist)
+        return n.between(cfg.min_len, cfg.max_len) & ~contains_any(low, cfg.blacklist)
 
     return let(text, gate)
 
 
 def sft_gate(
-    cfg: GateConfig = GateConfig(),
-    at: str = "",
-    text: ColumnOrName | None = None,
-    lowered: ColumnOrName | None = None,
+    cfg: GateConfig = GateConfig(), at: str = "", text: ColumnOrName | None = None, **known: ColumnOrName
 ) -> Column:
     text = sft_text(at) if text is None else text
-    return not_blank(at + "instruction", at + "output") & text_gate(text, cfg, lowered)
+    return not_blank(at + "instruction", at + "output") & text_gate(text, cfg, **known)
 
 
 def preference_gate(
-    cfg: GateConfig = GateConfig(),
-    at: str = "",
-    text: ColumnOrName | None = None,
-    lowered: ColumnOrName | None = None,
+    cfg: GateConfig = GateConfig(), at: str = "", text: ColumnOrName | None = None, **known: ColumnOrName
 ) -> Column:
     text = preference_text(at) if text is None else text
     gap = F.coalesce(F.col(at + "quality_difference").cast("double"), F.lit(0.0)) >= cfg.min_diff
-    return gap & not_blank(at + "prompt", at + "chosen", at + "rejected") & text_gate(text, cfg, lowered)
+    return gap & not_blank(at + "prompt", at + "chosen", at + "rejected") & text_gate(text, cfg, **known)
 
 
 def basic_quality(
@@ -93,15 +89,19 @@ def category_bits(lowered: ColumnOrName, categories: Sequence[Sequence[str]]) ->
 
 
 def domain_relevance(bits: Column, first_topic: Column, second_topic: Column) -> Column:
-    covered = step(F.bit_count(bits), 0.0, 0.2, 0.4, 0.6)
+    covered = step(F.least(F.bit_count(bits), F.lit(3)), 0.0, 0.2, 0.4, 0.6)
     same = (or_empty(first_topic) != "") & first_topic.eqNullSafe(second_topic)
     return F.least(covered + F.when(same, 0.4).otherwise(0.0), F.lit(1.0))
 
 
-def diversity(text: ColumnOrName, cfg: ScoreConfig = ScoreConfig()) -> Column:
-    band = F.when(length_between(text, *cfg.ideal_length), 0.4).otherwise(0.2)
-    richness = step(sentence_count(text), 0.1, 0.1, 0.2, 0.3)
-    ratio = let(words(text), lambda w: F.try_divide(F.size(F.array_distinct(w)), F.size(w)))
+def diversity(
+    text: ColumnOrName, cfg: ScoreConfig = ScoreConfig(), length: ColumnOrName | None = None
+) -> Column:
+    n = F.length(col(text)) if length is None else col(length)
+    band = F.when(n.between(*cfg.ideal_length), 0.4).otherwise(0.2)
+    richness = step(sentence_count_to(text, 3), 0.1, 0.1, 0.2, 0.3)
+    split = words(text)
+    ratio = F.try_divide(F.size(F.array_distinct(split)), F.size(split))
     return band + richness + F.coalesce(ratio * 0.3, F.lit(0.0))
 
 
@@ -122,15 +122,17 @@ def total_score(
 def answer_score(text: ColumnOrName, cfg: AnswerConfig = AnswerConfig()) -> Column:
     text = or_empty(text)
     n = F.length(text)
-    size = F.when(n < 50, 0.1).when(n < 100, 0.3).when(n < 200, 0.6).otherwise(0.9)
-    structure = step(sentence_count(text), 0.2, 0.2, 0.6, 0.6, 0.9)
-
-    def score(lowered: Column) -> Column:
-        depth = F.least(count_contains(lowered, cfg.terms) / F.lit(5.0), F.lit(1.0))
-        teaching = F.least(count_contains(lowered, cfg.indicators) / F.lit(4.0), F.lit(1.0))
-        return F.least(size * 0.25 + structure * 0.25 + depth * 0.3 + teaching * 0.2, F.lit(1.0))
-
-    return let(F.lower(text), score)
+    size = step(sum([(n >= edge).cast("int") for edge in (50, 100, 200)], F.lit(0)), 0.1, 0.3, 0.6, 0.9)
+    structure = step(sentence_count_to(text, 4), 0.2, 0.2, 0.6, 0.6, 0.9)
+    found = let(
+        F.lower(text),
+        lambda low: F.struct(
+            count_contains(low, cfg.terms).alias("terms"), count_contains(low, cfg.indicators).alias("indicators")
+        ),
+    )
+    depth = F.least(found["terms"] / F.lit(5.0), F.lit(1.0))
+    teaching = F.least(found["indicators"] / F.lit(4.0), F.lit(1.0))
+    return F.least(size * 0.25 + structure * 0.25 + depth * 0.3 + teaching * 0.2, F.lit(1.0))
 
 
 def clamped_gap(better: ColumnOrName, worse: ColumnOrName) -> Column:

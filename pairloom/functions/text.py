@@ -12,6 +12,7 @@ from pairloom.fixed import ASCII_SPACES, OTHER_SPACES
 
 ColumnOrName = Column | str
 INLINE_TERMS = 4
+GLANCE = 64
 
 
 def col(c: ColumnOrName) -> Column:
@@ -22,7 +23,7 @@ def col(c: ColumnOrName) -> Column:
 _OTHER = (
     r"\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
-ODD_SPACE = f"[{_OTHER}]"
+ANY_SPACE = rf"[\s{_OTHER}]"
 NON_SPACE = rf"[^\s{_OTHER}]"
 # From the first visible character of a piece up to the next dot: one match per
 # sentence, in one pass without backtracking.
@@ -45,18 +46,16 @@ def let(value: ColumnOrName, body: Callable[[Column], Column]) -> Column:
 
 
 def plain_spaces(c: ColumnOrName) -> Column:
-    """Non-ASCII white space replaced by blanks, so that the fast ASCII class applies.
+    """Every white-space character replaced by a blank.
 
-    Most texts have none, and substring searches tell so faster than a regex.
+    Substring searches run on the raw bytes and tell which texts need the regex at all:
+    few hold anything but blanks and line breaks.
     """
-
-    def plain(t: Column) -> Column:
-        ascii_only = F.octet_length(t) == F.length(t)
-        separators = reduce(or_, [F.contains(t, F.lit(ch)) for ch in OTHER_SPACES if ch.isascii()])
-        wide = F.exists(_array([ch for ch in OTHER_SPACES if not ch.isascii()]), lambda ch: F.contains(t, ch))
-        return F.when(separators | (~ascii_only & wide), F.regexp_replace(t, ODD_SPACE, " ")).otherwise(t)
-
-    return let(c, plain)
+    c = col(c)
+    rare = reduce(or_, [F.contains(c, F.lit(ch)) for ch in ASCII_SPACES + OTHER_SPACES if ch.isascii() and ch not in " \n"])
+    wide = _array([ch for ch in OTHER_SPACES if not ch.isascii()])
+    odd = rare | ((F.octet_length(c) > F.length(c)) & F.exists(wide, lambda ch: F.contains(c, ch)))
+    return F.when(odd, F.regexp_replace(c, ANY_SPACE, " ")).otherwise(F.replace(c, F.lit("\n"), F.lit(" ")))
 
 
 def strip(c: ColumnOrName) -> Column:
@@ -64,25 +63,43 @@ def strip(c: ColumnOrName) -> Column:
 
 
 def not_blank(*cs: ColumnOrName) -> Column:
-    """True where every column holds a visible character; null counts as blank."""
-    return reduce(lambda a, b: a & b, [or_empty(c).rlike(NON_SPACE) for c in cs])
+    """True where every column holds a visible character; null counts as blank.
+
+    The first characters nearly always decide; only then is the rest looked at.
+    """
+
+    def visible(c: ColumnOrName) -> Column:
+        text = or_empty(c)
+        return F.left(text, F.lit(GLANCE)).rlike(NON_SPACE) | text.rlike(NON_SPACE)
+
+    return reduce(lambda a, b: a & b, [visible(c) for c in cs])
 
 
 def sentence_count(c: ColumnOrName) -> Column:
     return F.regexp_count(col(c), F.lit(SENTENCE))
 
 
+def sentence_count_to(c: ColumnOrName, cap: int) -> Column:
+    """The sentence count, or ``cap`` if it is higher.
+
+    The start of a text, cut after a few dots, nearly always holds ``cap`` sentences
+    already; only the other texts are counted to their end.
+    """
+    start = F.substring_index(col(c), ".", 2 * cap)
+    return F.when(sentence_count(start) >= cap, cap).otherwise(F.least(sentence_count(c), F.lit(cap)))
+
+
 def sentences(c: ColumnOrName) -> Column:
     return F.regexp_extract_all(col(c), F.lit(SENTENCE), F.lit(0))
 
 
 def words(c: ColumnOrName) -> Column:
-    return F.array_remove(F.split(plain_spaces(c), r"\s+"), "")
+    return F.array_remove(F.split(plain_spaces(c), " "), "")
 
 
 def first_words(c: ColumnOrName, n: int) -> Column:
     """The first ``n + 1`` pieces at most; the last one is the unsplit rest."""
-    pieces = F.split(strip(plain_spaces(c)), r"\s+", n + 1)
+    pieces = F.split(F.trim(plain_spaces(c)), " +", n + 1)
     return F.array_remove(pieces, "")
 
 

@@ -27,15 +27,14 @@ def unzip_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_sft_features(df: DataFrame, cfg: ScoreConfig = ScoreConfig(), at: str = "") -> DataFrame:
     """Everything the pair score needs from the instruction side, as narrow columns."""
     text = df.withColumn("_text", s.sft_text(at))
-    low = text.withColumn("_low", F.lower("_text"))
+    low = text.withColumns({"_low": F.lower("_text"), "sft_length": F.length("_text")})
     return low.withColumns(
         {
-            "sft_ok": s.sft_gate(cfg.gate, at, "_text", "_low"),
-            "sft_length": F.length("_text"),
+            "sft_ok": s.sft_gate(cfg.gate, at, "_text", lowered="_low", length="sft_length"),
             "sft_bits": s.category_bits("_low", cfg.categories),
             "sft_tail": F.right(F.col("_low"), F.lit(cfg.seam)),
             "sft_topic": F.col(at + "topic"),
-            "diversity": s.diversity("_text", cfg),
+            "diversity": s.diversity("_text", cfg, "sft_length"),
             "difficulty_score": s.difficulty_balance(at + "difficulty"),
         }
     ).drop("_text", "_low")
@@ -43,11 +42,12 @@ def with_sft_features(df: DataFrame, cfg: ScoreConfig = ScoreConfig(), at: str =
 
 def with_preference_features(df: DataFrame, cfg: ScoreConfig = ScoreConfig(), at: str = "") -> DataFrame:
     text = df.withColumn("_text", s.preference_text(at))
-    low = text.withColumn("_low", F.lower("_text"))
+    low = text.withColumns({"_low": F.lower("_text"), "preference_length": F.length("_text")})
     return low.withColumns(
         {
-            "preference_ok": s.preference_gate(cfg.gate, at, "_text", "_low"),
-            "preference_length": F.length("_text"),
+            "preference_ok": s.preference_gate(
+                cfg.gate, at, "_text", lowered="_low", length="preference_length"
+            ),
             "preference_bits": s.category_bits("_low", cfg.categories),
             "preference_head": F.left(F.col("_low"), F.lit(cfg.seam)),
             "preference_topic": F.col(at + "topic"),
