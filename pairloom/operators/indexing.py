@@ -25,10 +25,12 @@ def with_dense_index(df: DataFrame, *order_by: ColumnOrName, name: str = "index"
     rows in between, for narrow rows that were dear to compute.
     """
     shared_dir(df.sparkSession)
-    source = df.persist(StorageLevel.MEMORY_AND_DISK) if hold else df
-    ordered = source.orderBy(*[col(c) for c in order_by]).checkpoint()
+    hold = hold and df.storageLevel == StorageLevel.NONE  # leave the caller's own cache alone
     if hold:
-        source.unpersist()
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = df.orderBy(*[col(c) for c in order_by]).checkpoint()
+    if hold:
+        df.unpersist()
     place = F.monotonically_increasing_id()
     placed = ordered.withColumns(
         {"_part": F.shiftright(place, OFFSET_BITS), "_at": place.bitwiseAND(F.lit((1 << OFFSET_BITS) - 1))}
