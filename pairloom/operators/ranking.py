@@ -44,7 +44,8 @@ def top_n_per(
     by = [by] if isinstance(by, str) else list(by)
     if n <= GROUP_LIMIT:
         window = Window.partitionBy(*by).orderBy(*ranked_by(score, tie))
-        return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
+        kept = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
+        return kept.withColumn(name, F.col(name).cast("long"))
     indexed = with_group_index(df, by, *ranked_by(score, tie), name=name, hold=True)
     return indexed.withColumn(name, F.col(name) + 1).filter(F.col(name) <= n)
 

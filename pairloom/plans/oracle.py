@@ -426,7 +426,7 @@ ORACLES: dict[str, str] = {
     "topk_per_topic": with_(
         SCORED,
         f"""SELECT * FROM (SELECT pair_id, round(score, 6) AS score,
-            (row_number() OVER (PARTITION BY topic ORDER BY score DESC, pair_id))::INT AS rank FROM scored) WHERE rank <= {TOP_PER_TOPIC}""",
+            row_number() OVER (PARTITION BY topic ORDER BY score DESC, pair_id) AS rank FROM scored) WHERE rank <= {TOP_PER_TOPIC}""",
     ),
     "ranked_pairs": with_(
         SCORED, "SELECT pair_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, pair_id) AS rank FROM scored"

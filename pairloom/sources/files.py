@@ -15,10 +15,14 @@ def _struct(schema: str | StructType) -> StructType:
 
 
 def _parsed(lines: DataFrame, schema: StructType) -> DataFrame:
-    """Parse ``value`` once; ``_corrupt`` keeps the text of a line that failed."""
+    """Parse ``value``; ``_corrupt`` keeps the text of a line that failed.
+
+    The row comes out of a generator: a filter on it stays above, so that each line is
+    parsed once.
+    """
     wide = StructType(schema.fields).add(CORRUPT, StringType())
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return lines.select("value", F.from_json("value", wide, options).alias("row"))
+    return lines.select("value", F.explode(F.array(F.from_json("value", wide, options))).alias("row"))
 
 
 def read_jsonl(

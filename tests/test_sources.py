@@ -169,3 +169,10 @@ def test_shared_folder_comes_from_the_session(spark, tmp_path):
     Session.conf, Context.getConf = Empty(), lambda self: Empty()
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_each_line_is_parsed_once(spark, tmp_path):
+    path = tmp_path / "rows.jsonl"
+    path.write_text('{"sft_index": 1}\n{bad\n')
+    for df in files.read_jsonl(spark, str(path), schemas.SFT):
+        assert df._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
