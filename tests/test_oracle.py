@@ -5,7 +5,9 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from pairloom.plans.oracle import ORACLES
+from pairloom.plans.queries import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -31,13 +33,13 @@ def _rows(names, rows):
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_result(spark, sf, duck, name):
-    df = queries()[name](spark, sf)
-    result = duck.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, sf)
+    result = duck.execute(ORACLES[name])
     names = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(names)
     expected = _rows(names, result.fetchall())
