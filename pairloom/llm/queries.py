@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm.decontamination import benchmark_hits, is_contaminated, items_digest
 from pairloom.llm.exact_dedup import duplicate_groups
+from pairloom.llm.language_id import held_out, identify_languages, train_prototypes
 from pairloom.llm.line_dedup import dedup_lines
+from pairloom.llm.quality import score_documents, train
 from pairloom.llm.tables import table
 
 
@@ -32,4 +34,23 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op6_exact_dedup)}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    prototypes = train_prototypes(docs.filter(~held_out()))
+    found = identify_languages(docs.select("doc_id", "text"), prototypes)
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0
+    weights = train(docs, table(spark, sf_dir, "labels"), ~fold("doc_id"))
+    return score_documents(docs, weights).select(
+        "row.doc_id",
+        F.coalesce(fold("row.doc_id"), F.lit(True)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op6_exact_dedup, op7_language_id, op9_quality_classifier)}
