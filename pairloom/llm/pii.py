@@ -10,7 +10,6 @@ instances of patterns that end with high confidence are reported as well.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 

@@ -8,10 +8,22 @@ from pairloom.llm.decontamination import benchmark_hits, is_contaminated, items_
 from pairloom.llm.exact_dedup import duplicate_groups
 from pairloom.llm.language_id import held_out, identify_languages, train_prototypes
 from pairloom.llm.line_dedup import dedup_lines
+from pairloom.llm.pii import KINDS, count_of, find_personal_data, span_text
 from pairloom.llm.quality import score_documents, train
 from pairloom.llm.tables import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "row.doc_id",
+        *[count_of(k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.concat("base", "found")).alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("row.doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -53,4 +65,4 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op6_exact_dedup, op7_language_id, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_line_dedup, op4_decontamination, op6_exact_dedup, op7_language_id, op9_quality_classifier)}
