@@ -10,8 +10,12 @@ from pairloom.llm.language_id import held_out, identify_languages, train_prototy
 from pairloom.llm.line_dedup import dedup_lines
 from pairloom.llm.pii import KINDS, count_of, find_personal_data, span_text
 from pairloom.llm.quality import score_documents, train
+from pairloom.llm.segmentation import sample_segmentations
 from pairloom.llm.tables import table
 
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+SAMPLES = 2
+
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -53,6 +57,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL) -> DataFrame:
+    drawn = sample_segmentations(table(spark, sf_dir, "documents").select("doc_id", "text"), model_file, k=SAMPLES)
+    one = drawn.select("row.doc_id", F.posexplode("samples").alias("sample", "s"))
+    return one.select(
+        "doc_id",
+        "sample",
+        F.size("s.ids").cast("long").alias("n_pieces"),
+        F.xxhash64("s.ids").alias("ids_hash"),
+        "s.log_prob",
+        "s.gumbel",
+        "s.inclusion",
+    )
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0
@@ -65,4 +83,4 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_line_dedup, op4_decontamination, op6_exact_dedup, op7_language_id, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_line_dedup, op4_decontamination, op6_exact_dedup, op7_language_id, op8_sentencepiece, op9_quality_classifier)}
