@@ -56,4 +56,23 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM t WINDOW g AS (PARTITION BY norm)
 """
 
-ORACLES = {"op3_line_dedup": OP3, "op4_decontamination": OP4, "op6_exact_dedup": OP6}
+OP10 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, p, list_slice(w, p, p + 12) AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)
+),
+later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY words) AS first FROM win) WHERE doc_id > first
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS pos FROM later),
+each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+cut AS (
+  SELECT e.doc_id, count(g.pos) AS n_removed, string_agg(e.word, ' ' ORDER BY e.pos) FILTER (g.pos IS NULL) AS kept
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+ORACLES = {"op3_line_dedup": OP3, "op4_decontamination": OP4, "op6_exact_dedup": OP6, "op10_substring_dedup": OP10}

@@ -11,6 +11,7 @@ from pairloom.llm.line_dedup import dedup_lines
 from pairloom.llm.pii import KINDS, count_of, find_personal_data, span_text
 from pairloom.llm.quality import score_documents, train
 from pairloom.llm.segmentation import sample_segmentations
+from pairloom.llm.substring_dedup import remove_repeated_runs
 from pairloom.llm.tables import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -83,4 +84,21 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_line_dedup, op4_decontamination, op6_exact_dedup, op7_language_id, op8_sentencepiece, op9_quality_classifier)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_pii,
+        op3_line_dedup,
+        op4_decontamination,
+        op6_exact_dedup,
+        op7_language_id,
+        op8_sentencepiece,
+        op9_quality_classifier,
+        op10_substring_dedup,
+    )
+}

@@ -65,12 +65,12 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]
 
 
 class Sums:
-    """Prefix sums from which the hash of any slice of the bytes follows."""
+    """Prefix sums from which the hash of any slice of bytes (or of 64-bit values) follows."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LETTER[data] * _power(_BASE, n)[:n], out=self.sums[1:])
+        np.cumsum((_LETTER[data] if data.dtype == np.uint8 else data) * _power(_BASE, n)[:n], out=self.sums[1:])
         self.back = _power(_INVERSE, n)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
