@@ -258,23 +258,24 @@ def group_sums(group: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 
 def cut_by_document(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """``texts`` with all ``pos, n`` of a document in one array, null where there are none.
+    """``texts`` with all spans (``pos, n``) of a document in one array, null where there are none.
 
     The texts are dealt out by an explicit partitioning, the same wherever a document has
     to meet its spans, so Spark writes that exchange once and reads it again.
     """
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
+    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in spans.columns if c != "doc"])).alias("spans"))
     return texts.repartition(partitions(texts.sparkSession), "doc").join(by_doc, "doc", "left")
 
 
 def open_stretches(batch: pa.RecordBatch, cut: Cut) -> Iterator[tuple]:
-    """For each block of a batch (doc, text, spans) with spans: hash sums, first unit, number
-    of windows, document and row base of every stretch, and the raw bytes."""
+    """For each block of a batch (doc, text, spans of pos, n, h): hash sums and unit values,
+    and of every stretch the first unit, the number of windows, the document, the row's
+    first unit and the anchor."""
     batch = batch.filter(batch.column(2).is_valid())
     lists = batch.column(2)
     counts = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
     flat = lists.flatten()
-    pos, n = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("pos", "n"))
+    pos, n, h = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("pos", "n", "h"))
     ends = np.concatenate([[0], np.cumsum(counts)])
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     data, offsets = scan.utf8(batch.column(1))
@@ -286,4 +287,4 @@ def open_stretches(batch: pa.RecordBatch, cut: Cut) -> Iterator[tuple]:
         # A row that shares its id with another may be shorter than the place asked for.
         fits = firsts[row] + pos[mine] + n[mine] + (cut.window - 1) <= firsts[row + 1]
         row, first = row[fits], (firsts[row] + pos[mine])[fits]
-        yield scan.Sums(values), first, n[mine][fits], ids[i:j][row], firsts[row], values
+        yield scan.Sums(values), values, first, n[mine][fits], ids[i:j][row], firsts[row], h[mine][fits]

@@ -10,6 +10,7 @@ from pairloom.llm.language_id import held_out, identify_languages, train_prototy
 from pairloom.llm.line_dedup import dedup_lines
 from pairloom.llm.pii import KINDS, count_of, find_personal_data, span_text
 from pairloom.llm.quality import score_documents, train
+from pairloom.llm.run_length_index import remove_repeated_bytes
 from pairloom.llm.segmentation import sample_segmentations
 from pairloom.llm.substring_dedup import remove_repeated_runs
 from pairloom.llm.tables import table
@@ -18,6 +19,17 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("runs").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -92,6 +104,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_suffix_array_dedup,
         op2_pii,
         op3_line_dedup,
         op4_decontamination,

@@ -94,10 +94,10 @@ def remove_repeated_runs(
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sums, first, n, doc, base, _ in anchors.open_stretches(batch, cut):
-                yield anchors.window_rows(sums, first, n, doc, base, np.zeros(len(first), np.uint64), cut)
+            for sums, _, first, n, doc, base, h in anchors.open_stretches(batch, cut):
+                yield anchors.window_rows(sums, first, n, doc, base, h.view(np.uint64), cut)
 
-    windows = anchors.cut_by_document(texts, found.filter("open")).mapInArrow(extend, "w1 long, w2 long, doc long, pos int")
+    windows = anchors.cut_by_document(texts, found.filter("open").drop("open")).mapInArrow(extend, "w1 long, w2 long, doc long, pos int")
     if len(heavy):
         windows = windows.unionByName(anchors.heavy_windows(texts, cut, heavy))
     first = (
