@@ -49,6 +49,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+WORDS_5 = r"regexp_extract_all(" + LOWERED.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
+
+OP5 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS_5} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(w, p, p + 4) AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 75 * (nx.size + ny.size - k)
+),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON r = x
+)
+SELECT doc_id, coalesce(any_value(size), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
 OP6 = f"""
 WITH t AS (SELECT doc_id, {LOWERED.format("coalesce(text, '')")} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -75,4 +97,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM d LEFT JOIN cut USING (doc_id)
 """
 
-ORACLES = {"op3_line_dedup": OP3, "op4_decontamination": OP4, "op6_exact_dedup": OP6, "op10_substring_dedup": OP10}
+ORACLES = {
+    "op3_line_dedup": OP3,
+    "op4_decontamination": OP4,
+    "op5_jaccard_join": OP5,
+    "op6_exact_dedup": OP6,
+    "op10_substring_dedup": OP10,
+}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm.decontamination import benchmark_hits, is_contaminated, items_digest
 from pairloom.llm.exact_dedup import duplicate_groups
+from pairloom.llm.jaccard_join import near_duplicates
 from pairloom.llm.language_id import held_out, identify_languages, train_prototypes
 from pairloom.llm.line_dedup import dedup_lines
 from pairloom.llm.pii import KINDS, count_of, find_personal_data, span_text
@@ -59,6 +60,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -108,6 +113,7 @@ QUERIES = {
         op2_pii,
         op3_line_dedup,
         op4_decontamination,
+        op5_jaccard_join,
         op6_exact_dedup,
         op7_language_id,
         op8_sentencepiece,
