@@ -30,8 +30,10 @@ FILTER_BITS = 20
 #: A piece of rank r has weight 1 / (r + FLATTEN); the model's scores are minus the ranks.
 FLATTEN = 10.0
 BYTES_LEFT = -1
+NO_PIECE, SEVERAL = -1, -2
 
 SAMPLES = "array<struct<ids:array<int>,log_prob:double,gumbel:double,inclusion:double>>"
+_SPREAD = 0xC2B2AE3D27D4EB4F
 _BASE, _BACK = 0xA0761D6478BD642F, pow(0xA0761D6478BD642F, -1, 2**64)
 
 
@@ -42,7 +44,7 @@ def _prefix(codes: np.ndarray) -> np.ndarray:
 
 
 def _slices(sums: np.ndarray, back: np.ndarray, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-    return scan.mix((sums[at + length] - sums[at]) * back[at] + np.asarray(length).astype(np.uint64))
+    return (sums[at + length] - sums[at]) * back[at] * np.uint64(_SPREAD)
 
 
 class Vocabulary:
@@ -68,70 +70,97 @@ class Vocabulary:
         self.hashes, self.ids = hashes[order], np.array(ids, np.int32)[order]
         self.weights = -np.log(FLATTEN - np.array(scores))[order]
         self.byte_weight = float(self.weights.min()) - 1.0
-        self.is_piece = self._filter(hashes)
-        self.is_prefix = self._filter(np.array([self._hash(p) for p in {p[:k] for p in pieces for k in range(1, len(p) + 1)}], np.uint64))
+        # By the top bits of a hash: the piece, if there is one only, and whether pieces go on.
+        place = (self.hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        alone = np.bincount(place, minlength=1 << FILTER_BITS)[place] == 1
+        self.slot = np.full(1 << FILTER_BITS, NO_PIECE, np.int32)
+        self.slot[place] = np.where(alone, np.arange(len(place)), SEVERAL)
+        longer = np.array([self._hash(p) for p in {p[:k] for p in pieces for k in range(1, len(p))}], np.uint64)
+        self.goes_on = np.zeros(1 << FILTER_BITS, bool)
+        self.goes_on[longer >> np.uint64(64 - FILTER_BITS)] = True
 
     @staticmethod
     def _hash(piece: str) -> int:
         codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
         return int(_slices(_prefix(codes), scan._power(_BACK, len(codes)), np.zeros(1, np.int64), len(codes))[0])
 
-    @staticmethod
-    def _filter(hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(1 << FILTER_BITS, bool)
-        out[hashes >> np.uint64(64 - FILTER_BITS)] = True
-        return out
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, and the numbers of those pieces."""
+        at = self.slot[h >> np.uint64(64 - FILTER_BITS)]
+        some = np.flatnonzero(at != NO_PIECE)
+        number, h = at[some], h[some]
+        unclear = np.flatnonzero(number == SEVERAL)
+        number[unclear] = np.minimum(np.searchsorted(self.hashes, h[unclear]), len(self.hashes) - 1)
+        right = self.hashes[number] == h
+        return some[right], number[right]
 
 
 class Lattice:
     """The lattices of the distinct words of a block: per node the pieces that start there,
-    by length, and the probability of each given that a path reaches the node."""
-
-    def __init__(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary):
-        ends = np.cumsum(lengths + 1) - 1
-        self.first = ends - lengths
-        n = int(ends[-1]) + 1 if len(ends) else 0
-        chars = np.zeros(n, np.uint32)
-        inside = np.ones(n, bool)
-        inside[ends] = False
-        nodes = np.flatnonzero(inside)
-        chars[nodes] = codes[nodes + np.repeat(starts - self.first, lengths)]
-        sums, back = _prefix(chars), scan._power(_BACK, n)
-        live, shift, fits = nodes, np.uint64(64 - FILTER_BITS), []
-        for size in range(1, min(vocabulary.longest, int(lengths.max(initial=1))) + 1):
-            live = live[live + size <= n]
-            h = _slices(sums, back, live, size)
-            sure = np.flatnonzero(vocabulary.is_piece[h >> shift])
-            at = np.minimum(np.searchsorted(vocabulary.hashes, h[sure]), len(vocabulary.hashes) - 1)
-            same = vocabulary.hashes[at] == h[sure]
-            fits.append((size, live[sure[same]], at[same]))
-            live = live[vocabulary.is_prefix[h >> shift]]
-        width = max([1, *(size for size, where, _ in fits if len(where))])
-        self.ids = np.zeros((n, width), np.int32)
-        weight = np.full((n, width), -np.inf, np.float32)
-        for size, where, at in fits[:width]:
-            self.ids[where, size - 1] = vocabulary.ids[at]
-            weight[where, size - 1] = vocabulary.weights[at]
-        alone = nodes[np.isneginf(weight[nodes, 0])]
-        if len(alone):  # no piece for this character: its bytes, as one step
-            c = chars[alone]
-            size = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
-            weight[alone, 0] = vocabulary.byte_weight * size
-            self.ids[alone, 0] = BYTES_LEFT
-        total = np.full(n + width, -np.inf)
-        total[ends] = 0
+    by length, and the probability of each given that a path reaches the node.
+
+    Nodes are numbered by their distance from the end of the word, and words by falling
+    length, so the nodes a step of a given length leads to are a slice.
+    """
+
+    def __init__(self, sums: np.ndarray, back: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary):
         order = np.argsort(-lengths, kind="stable")
-        sorted_ends, reach = ends[order], -np.sort(-lengths)
-        steps = np.arange(1, width + 1)
-        for d in range(1, int(lengths.max(initial=0)) + 1):
-            at = sorted_ends[: np.searchsorted(-reach, -d, side="right")] - d
-            after = total[at + 1]  # finite, since every character has a step of its own
-            value = weight[at] + (total[at[:, None] + steps] - after[:, None]).astype(np.float32)
-            top = value.max(axis=1)
-            total[at] = after + top + np.log(np.exp(value - top[:, None]).sum(axis=1))
-        self.prob = np.zeros((n, width), np.float32)
-        self.prob[nodes] = np.exp(weight[nodes] + (total[nodes[:, None] + steps] - total[nodes][:, None]).astype(np.float32))
-        self.chars = chars
+        self.rank = np.empty(len(order), np.int64)
+        self.rank[order] = np.arange(len(order))
+        ends, lengths = (starts + lengths)[order], lengths[order]
+        longest = int(lengths.max(initial=0))
+        count = np.searchsorted(-lengths, -np.arange(longest + 1), side="right")
+        self.level = np.concatenate([[0], np.cumsum(count)])
+        n, level = int(self.level[-1]), self.level.tolist()
+        distance = np.repeat(np.arange(longest + 1), count)
+        self.place = ends[np.arange(n) - self.level[distance]] - distance
+
+        live, fits = np.arange(level[1], n), []
+        begin, scale = sums[self.place[live]], back[self.place[live]] * np.uint64(_SPREAD)
+        for size in range(1, min(vocabulary.longest, longest) + 1):
+            inside = int(np.searchsorted(live, level[size]))  # the others are too near the end
+            live, begin, scale = live[inside:], begin[inside:], scale[inside:]
+            h = (sums[self.place[live] + size] - begin) * scale
+            some, number = vocabulary.find(h)
+            fits.append((live[some], number))
+            on = np.flatnonzero(vocabulary.goes_on[h >> np.uint64(64 - FILTER_BITS)])
+            live, begin, scale = live[on], begin[on], scale[on]
+        width = max([1, *(size for size, (where, _) in enumerate(fits, 1) if len(where))])
+        self.ids = np.zeros((width, n), np.int32)
+        weight = np.full((width, n), -np.inf, np.float32)
+        for size, (where, number) in enumerate(fits[:width]):
+            self.ids[size, where] = vocabulary.ids[number]
+            weight[size, where] = vocabulary.weights[number]
+        alone = level[1] + np.flatnonzero(np.isneginf(weight[0, level[1] :])) if longest else np.empty(0, np.int64)
+        if len(alone):  # no piece for this character: its bytes, as one step
+            c = codes[self.place[alone]]
+            weight[0, alone] = vocabulary.byte_weight * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
+            self.ids[0, alone] = BYTES_LEFT
+
+        total = np.zeros(n)
+        self.prob = np.zeros((width, n), np.float32)
+        for d in range(1, longest + 1):
+            a, b = level[d], level[d + 1]
+            reach = min(width, d)
+            after = total[level[d - 1] : level[d - 1] + b - a]  # finite: every character has a step
+            value = weight[:reach, a:b].copy()
+            for size in range(2, reach + 1):
+                value[size - 1] += (total[level[d - size] : level[d - size] + b - a] - after).astype(np.float32)
+            top = value.max(axis=0)
+            np.exp(np.subtract(value, top, out=value), out=value)
+            whole = value.sum(axis=0)
+            total[a:b] = after + top + np.log(whole)
+            np.divide(value, whole, out=self.prob[:reach, a:b])
+        sums_up = self.prob.copy()
+        for size in range(1, width):
+            np.add(sums_up[size - 1], self.prob[size], out=sums_up[size])
+        self.total = sums_up[-1].copy()
+        others = np.zeros((width, n), np.float32)
+        for size in range(width - 2, -1, -1):
+            np.add(others[size + 1], self.prob[size + 1], out=others[size])
+        others[1:] += sums_up[:-1]
+        self.sums, self.others = np.ascontiguousarray(sums_up.T), others
+        self.ones = np.ones(width, np.float32)
 
 
 def _uniform(seed: np.ndarray, place: np.ndarray, round_: int) -> np.ndarray:
@@ -154,43 +183,44 @@ class Block:
         self.starts = np.flatnonzero(first)
         self.ends = np.append(self.starts[1:], len(codes))[: len(self.starts)]
         lengths = self.ends - self.starts
-        hashes = _slices(_prefix(codes), scan._power(_BACK, len(codes)), self.starts, lengths)
-        _, some, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        self.lattice = Lattice(codes, self.starts[some], lengths[some], vocabulary)
-        self.shift = self.lattice.first[kind] - self.starts
+        sums, back = _prefix(codes), scan._power(_BACK, len(codes))
+        _, some, kind = np.unique(_slices(sums, back, self.starts, lengths), return_index=True, return_inverse=True)
+        self.lattice = Lattice(sums, back, codes, self.starts[some], lengths[some], vocabulary)
         self.text_of = np.repeat(np.arange(self.n), np.diff(self.offsets))
-        self.shift_at = np.repeat(self.shift, lengths)
-        self.size = len(codes)
+        self.size, self.codes = len(codes), codes
+        self.node = self.lattice.level[np.repeat(self.ends, lengths) - np.arange(self.size)] + np.repeat(self.lattice.rank[kind], lengths)
 
     def walk(self, word: np.ndarray, at: np.ndarray, avoid: dict[int, np.ndarray], round_: int, step: np.ndarray, log_p: np.ndarray) -> None:
         """Draw steps from each position to the end of its word. ``avoid`` has the steps
         that may not be taken at some positions."""
-        prob = self.lattice.prob
-        if avoid:
-            places = np.array(sorted(avoid))
-            masks = np.stack([avoid[p] for p in places.tolist()])
-        first = True
-        while len(at):
-            row = prob[at + self.shift_at[at]]
-            open_ = row
-            if first and avoid:
-                k = np.minimum(np.searchsorted(places, at), len(places) - 1)
-                open_ = np.where((places[k] == at)[:, None] & masks[k], 0, row)
-            first = False
-            sums = np.cumsum(open_, axis=1)
-            text, whole = self.text_of[at], sums[:, -1]
-            u = _uniform(self.seeds[text], at - self.offsets[text], 2 * round_).astype(np.float32) * whole
-            size = np.argmax(sums > np.minimum(u, np.nextafter(whole, np.float32(0)))[:, None], axis=1)
-            step[at] = size + 1
-            log_p[at] = np.log(row[np.arange(len(at)), size])
-            at = at + size + 1
-            on = at < self.ends[word]
-            word, at = word[on], at[on]
+        lattice = self.lattice
+        for first in (True, False):
+            while len(at):
+                node, text = self.node[at], self.text_of[at]
+                u = _uniform(self.seeds[text], at - self.offsets[text], 2 * round_).astype(np.float32)
+                whole = lattice.total[node]
+                # How many partial sums lie at or below the drawn value; a product counts faster.
+                below = lattice.sums[node] <= np.minimum(u * whole, np.nextafter(whole, np.float32(0)))[:, None]
+                size = (below.view(np.uint8).astype(np.float32) @ lattice.ones).astype(np.int64)
+                if first and avoid:
+                    places = np.array(sorted(avoid))
+                    i = np.searchsorted(at, places)
+                    row = np.where(np.stack([avoid[p] for p in places.tolist()]), 0, lattice.prob[:, node[i]].T)
+                    sums = np.cumsum(row, axis=1)
+                    below = np.minimum(u[i] * sums[:, -1], np.nextafter(sums[:, -1], np.float32(0)))
+                    size[i] = np.argmax(sums > below[:, None], axis=1)
+                step[at] = size + 1
+                log_p[at] = np.log(lattice.prob[size, node])
+                at = at + size + 1
+                on = at < self.ends[word]
+                word, at = word[on], at[on]
+                if first:
+                    break
 
     def sample(self, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """k + 1 rounds of (which texts have a path, step per position, log-probability,
         perturbed value)."""
-        width = self.lattice.prob.shape[1] if self.size else 1
+        width = len(self.lattice.prob)
         word_text = self.text_of[self.starts]
         step, log_p = np.zeros(self.size, np.uint8), np.zeros(self.size)
         self.walk(np.arange(len(self.starts)), self.starts, {}, 0, step, log_p)
@@ -211,12 +241,16 @@ class Block:
             firsts = np.flatnonzero(np.diff(text, prepend=-1))
             base = np.zeros(self.n)
             base[text[firsts]] = before[firsts]
-            others = self.lattice.prob[at + self.shift_at[at]]
-            others[np.arange(len(at)), step[at].astype(int) - 1] = 0
+            node = self.node[at]
+            with np.errstate(divide="ignore"):
+                rest = np.log(self.lattice.others[step[at].astype(int) - 1, node].astype(np.float64))
             for p, mask in avoid.items():
-                others[np.searchsorted(at, p), mask] = 0
+                i = np.searchsorted(at, p)
+                row = np.where(mask, 0, self.lattice.prob[:, node[i]])
+                row[step[p] - 1] = 0
+                rest[i] = np.log(row.sum()) if row.any() else -np.inf
             with np.errstate(divide="ignore"):
-                mass = before - base[text] + np.log(others.sum(axis=1))
+                mass = before - base[text] + rest
                 u = _uniform(self.seeds[text], at - self.offsets[text], 2 * round_ + 1)
                 drawn = mass - np.logaddexp(mass - value[text], np.log(-np.log(u)))
             drawn[np.isneginf(mass) | (at < cut[text]) | ~alive[text]] = -np.inf
@@ -260,12 +294,13 @@ class Block:
     def ids(self, step: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """All ids of one round's paths, and where each text's ids start."""
         at = np.flatnonzero(step)
-        node = at + self.shift_at[at]
-        ids = self.lattice.ids[node, step[at].astype(int) - 1] if len(at) else np.empty(0, np.int32)
+        ids = self.lattice.ids[step[at].astype(int) - 1, self.node[at]]
         firsts = np.searchsorted(at, self.offsets)
         odd = np.flatnonzero(ids == BYTES_LEFT)
         if len(odd):
-            spelled = [vocabulary.bytes[list(chr(c).encode())] for c in self.lattice.chars[node[odd]].tolist()]
+            letters, which = np.unique(self.codes[at[odd]], return_inverse=True)
+            spelling = [vocabulary.bytes[list(chr(c).encode())] for c in letters.tolist()]
+            spelled = [spelling[i] for i in which.tolist()]
             times = np.ones(len(ids), np.int64)
             times[odd] = [len(s) for s in spelled]
             starts = np.concatenate([[0], np.cumsum(times)])
