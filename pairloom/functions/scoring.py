@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -78,18 +77,32 @@ def basic_quality(
     return F.when(both_ok, F.least(F.lit(0.6) + bonus[0] + bonus[1], F.lit(1.0))).otherwise(0.0)
 
 
+# More categories than this do not raise the relevance.
+ENOUGH_CATEGORIES = 3
+
+
 def category_bits(lowered: ColumnOrName, categories: Sequence[Sequence[str]]) -> Column:
-    """Bit i is set where the text holds a keyword of category i."""
-    bits = [
-        F.when(contains_any(lowered, terms), 1 << i).otherwise(0)
-        for i, terms in enumerate(categories)
-        if terms
-    ]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0))
+    """Bit i is set where the text holds a keyword of category i. Once enough categories
+    are found the text is not searched further, so later bits may stay unset."""
+    filled = [(1 << i, list(terms)) for i, terms in enumerate(categories) if terms]
+    if not filled:
+        return F.lit(0)
+    listed = F.array(
+        *[F.struct(F.lit(bit).alias("bit"), F.array(*[F.lit(t) for t in terms]).alias("terms")) for bit, terms in filled]
+    )
+
+    def found(text: Column) -> Column:
+        def add_category(bits: Column, category: Column) -> Column:
+            hit = F.exists(category["terms"], lambda t: F.contains(text, t))
+            return F.when(F.bit_count(bits) >= ENOUGH_CATEGORIES, bits).when(hit, bits.bitwiseOR(category["bit"])).otherwise(bits)
+
+        return F.aggregate(listed, F.lit(0), add_category)
+
+    return let(lowered, found)
 
 
 def domain_relevance(bits: Column, first_topic: Column, second_topic: Column) -> Column:
-    covered = step(F.least(F.bit_count(bits), F.lit(3)), 0.0, 0.2, 0.4, 0.6)
+    covered = step(F.least(F.bit_count(bits), F.lit(ENOUGH_CATEGORIES)), 0.0, 0.2, 0.4, 0.6)
     same = (or_empty(first_topic) != "") & first_topic.eqNullSafe(second_topic)
     return F.least(covered + F.when(same, 0.4).otherwise(0.0), F.lit(1.0))
 

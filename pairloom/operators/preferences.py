@@ -15,7 +15,10 @@ from pairloom.functions.draws import digest, draw, pick
 from pairloom.functions.prompts import degradation_prompt, degradation_system, fallback_response, prompt_text
 from pairloom.functions.scoring import answer_score, clamped_gap
 from pairloom.functions.text import SENTENCE, ColumnOrName, col, or_empty, render, sentences
+from pairloom.operators.indexing import require_unique
+from pairloom.operators.ranking import first_n
 from pairloom.operators.responder import Ask, respond
+from pairloom.session import fresh_dir
 
 ADD_IRRELEVANT = "add_irrelevant"
 COUNT_SLOT, REASON_SLOT = 0, 1
@@ -75,13 +78,15 @@ def with_spare_sentence(
     block: int = 1000,
     out: str = "spare",
 ) -> DataFrame:
-    """First sentence of the next row of the same group, for the rows that need one.
+    """First sentence of the next row of the same group, for the rows that need one; null
+    for the others.
 
     Groups are cut into blocks of ``block`` consecutive keys, which bounds each window
     whatever the size of the group; the last row of a block takes from its first. Only
-    first sentences enter the window and only rows in need are joined; the other rows
-    stay where they are.
+    keys and first sentences enter the window. The result comes back by key, so the texts
+    are read once; the key must be unique, and a missing or repeated one is an error.
     """
+    require_unique(df, key)
     bucket = F.floor(F.col(key) / block)
     window = Window.partitionBy("_group", "_bucket").orderBy(key)
     whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -97,8 +102,7 @@ def with_spare_sentence(
         .filter("_needed")
         .select(key, out)
     )
-    with_one = df.filter(needed).join(spare, key)
-    return with_one.unionByName(df.filter(~needed).withColumn(out, F.lit(None).cast("string")))
+    return df.join(spare, key, "left")
 
 
 @dataclass(frozen=True)
@@ -117,13 +121,19 @@ class ByRule:
         weak = F.coalesce(weaken("chosen", how, "_spare", self.seed, self.hedge), fallback_response("prompt"))
         return df.withColumn(out, F.when(only, weak))
 
+    def settle(self, df: DataFrame) -> DataFrame:
+        return df
+
 
 @dataclass(frozen=True)
 class ByModel:
-    """Weak answers from a model; a failed call gets the fallback response."""
+    """Weak answers from a model; a failed call gets the fallback response. ``settings`` go
+    with every call, such as ``{"temperature": F.lit(fixed.DEGRADE_TEMPERATURE)}``."""
 
     open_fn: Callable[[], Ask]
     templates: Mapping[str, str] | None = None
+    settings: Mapping[str, Column] | None = None
+    batch: bool = False
 
     def prepare(self, df: DataFrame, key: str, *hows: str) -> DataFrame:
         return df
@@ -132,10 +142,17 @@ class ByModel:
         user = degradation_prompt("prompt", "topic", how, self.templates or wording.DEGRADE_USER)
         asked = F.when(only, user)
         answered = respond(
-            df, degradation_system(how), asked, self.open_fn, fallback_response("prompt"), out=out, error="_error"
+            df, degradation_system(how), asked, self.open_fn, fallback_response("prompt"), out=out, error="_error",
+            settings=self.settings, batch=self.batch,
         )
         return answered.drop("_error")
 
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Write the answers, so that neither a second round nor a lost task asks again."""
+        path = fresh_dir(df.sparkSession, "answers")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def degrade(
     df: DataFrame, text: str, how: str, seed: int = fixed.SPLIT_SEED, key: str = "sft_index", group: str = "topic"
@@ -219,12 +236,12 @@ def build_preferences(
     key: str = "sft_index",
     seed: int = fixed.SPLIT_SEED,
 ) -> DataFrame:
-    """Preference rows for the first ``n`` instruction rows (all by default)."""
+    """Preference rows for the first ``n`` instruction rows by key (all by default)."""
     if n is not None:
-        sft = sft.filter(F.col(key) < n)
+        sft = first_n(sft, n, key)
     base = chosen_side(sft, key).withColumn("_first", strategy(key))
     base = base.withColumn("_other", other_strategy(key, "_first"))
-    tried = rejecter.reject(rejecter.prepare(base, key, "_first", "_other"), "_first", "rejected", F.lit(True))
+    tried = rejecter.settle(rejecter.reject(rejecter.prepare(base, key, "_first", "_other"), "_first", "rejected", F.lit(True)))
     tried = tried.withColumn("_chosen_score", answer_score("chosen", cfg)).withColumn(
         "quality_difference", clamped_gap("_chosen_score", answer_score("rejected", cfg))
     )

@@ -50,11 +50,11 @@ def top_n_per(
     return indexed.withColumn(name, F.col(name) + 1).filter(F.col(name) <= n)
 
 
-def first_n(df: DataFrame, n: int, key: str = "sft_index", dense: bool = True) -> DataFrame:
+def first_n(df: DataFrame, n: int, key: str = "sft_index", dense: bool = False) -> DataFrame:
     """First ``n`` rows by a unique key.
 
-    With a dense key this is a plain filter. Otherwise the key of the ``n``-th row is
-    looked up from the key column alone; either way the rows are only compared with a
+    With ``dense=True``, for keys 0, 1, 2, ..., this is a plain filter. Otherwise the key of
+    the ``n``-th row is looked up from the key column alone; either way the rows are only compared with a
     value, which the scan can use, and never sorted.
     """
     if dense:

@@ -10,13 +10,12 @@ from pairloom import fixed
 from pairloom.functions.draws import digest, draw, pick
 from pairloom.functions.prompts import answer_system, answer_user, fallback_answer
 from pairloom.functions.text import fill, render
+from pairloom.operators.indexing import require_unique, with_dense_index
 from pairloom.operators.responder import Ask, respond
 
 KNOWLEDGE_SCHEMA = (
     "topic_no int, topic string, concepts array<string>, questions array<string>, problem_types array<string>"
 )
-# A topic table up to this length is sent to every executor.
-BROADCAST_TOPICS = 100_000
 
 TOPIC, CONCEPT, CONCEPT2, LEVEL, TEMPLATE, PREFIX, QUESTION, PROBLEM_TYPE, WEEKS = range(9)
 
@@ -29,6 +28,15 @@ def knowledge_table(spark: SparkSession, knowledge: Mapping[str, Mapping] = fixe
     return spark.createDataFrame(rows, KNOWLEDGE_SCHEMA)
 
 
+def numbered_topics(knowledge: DataFrame) -> tuple[DataFrame, int]:
+    """The topics numbered 0, 1, 2, ... by their own ``topic_no``, if there is one, and
+    name; and how many there are. A repeated or missing topic is an error."""
+    order = [c for c in ("topic_no", "topic") if c in knowledge.columns]
+    require_unique(knowledge, "topic")
+    topics = with_dense_index(knowledge, *order, name="_no").withColumn("topic_no", F.col("_no")).drop("_no")
+    return topics, topics.count()
+
+
 def template_rows(
     ids: DataFrame,
     seed: int,
@@ -42,11 +50,11 @@ def template_rows(
 
     ``literal=True`` keeps two oddities of the templates: an instruction that asks for
     ``{problem}`` is dropped, and ``{problem_type}`` stays unfilled in an instruction.
+    Every other id gives exactly one row, whatever numbers the topic table comes with.
     """
-    topics = knowledge_table(ids.sparkSession) if knowledge is None else knowledge
-    n_topics = topics.count()
-    if n_topics <= BROADCAST_TOPICS:
-        topics = F.broadcast(topics)
+    topics, n_topics = numbered_topics(knowledge_table(ids.sparkSession) if knowledge is None else knowledge)
+    if not n_topics:
+        raise ValueError("no topics")
 
     levels = list(prefixes)
     d = F.col("_digest")

@@ -10,6 +10,7 @@ from pairloom.functions.draws import share
 from pairloom.functions.prompts import chat_prompt, chat_turns, eval_prompt
 from pairloom.functions.text import ColumnOrName, col, first_words, or_empty
 from pairloom.operators.indexing import hash_cut
+from pairloom.sources.resume import require_rows
 
 
 def flag_incomplete(df: DataFrame) -> DataFrame:
@@ -24,13 +25,15 @@ def valid_dpo(df: DataFrame) -> DataFrame:
 
 
 def chat_sft(df: DataFrame, m: ChatMarkers = ChatMarkers(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chat text per instruction row; no rows at all is an error."""
     user = eval_prompt("instruction", "input")
-    return df.select(*keep, chat_turns(user, "output", m).alias("text"))
+    return require_rows(df, "instruction rows").select(*keep, chat_turns(user, "output", m).alias("text"))
 
 
 def chat_dpo(df: DataFrame, m: ChatMarkers = ChatMarkers(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Prompt, chosen and rejected text per valid row; none left is an error."""
     user = eval_prompt("prompt", "input") if "input" in df.columns else F.col("prompt")
-    return valid_dpo(df).select(*keep, chat_prompt(user, m).alias("prompt"), "chosen", "rejected")
+    return require_rows(valid_dpo(df), "preference rows").select(*keep, chat_prompt(user, m).alias("prompt"), "chosen", "rejected")
 
 
 def split_key(seed: int, *key: ColumnOrName) -> Column:
@@ -80,21 +83,33 @@ def argmax(scores: ColumnOrName) -> Column:
 
 
 def masked_accuracy(
-    df: DataFrame, pred: str, label: str, ignore: int = fixed.IGNORED_LABEL, shift: int = 0
+    df: DataFrame, pred: str, label: str, ignore: int = fixed.IGNORED_LABEL, shift: int | tuple[int, ...] = 0
 ) -> DataFrame:
     """Share of equal tokens where the label counts; 0 where none does.
 
     Sequences are cut to the shorter one. ``shift=1`` compares each prediction with the
-    next label.
+    next label. Several shifts give a row each, with the ``shift``, from one pass.
     """
+    shifts = (shift,) if isinstance(shift, int) else shift
     p, l = F.col(pred), F.col(label)
-    if shift:
-        l = F.slice(l, shift + 1, F.greatest(F.size(l) - shift, F.lit(0)))
-    n = F.least(F.size(p), F.size(l))
-    both = F.arrays_zip(F.slice(p, 1, n).alias("p"), F.slice(l, 1, n).alias("l"))
-    rows = df.select(F.filter(both, lambda x: x["l"] != ignore).alias("seen")).select(
-        F.size("seen").alias("total"), F.size(F.filter("seen", lambda x: x["p"] == x["l"])).alias("correct")
-    )
-    return rows.agg(
-        F.coalesce(F.sum("correct"), F.lit(0)).alias("correct"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")
-    ).withColumn("accuracy", F.coalesce(F.try_divide("correct", "total"), F.lit(0.0)))
+    sums = []
+    for s in shifts:
+        later = F.slice(l, s + 1, F.greatest(F.size(l) - s, F.lit(0))) if s else l
+        n = F.least(F.size(p), F.size(later))
+        # 1 right, 0 wrong, null where the label does not count.
+        marks = F.zip_with(
+            F.slice(p, 1, n), F.slice(later, 1, n), lambda a, b: F.when(b != ignore, F.coalesce((a == b).cast("int"), F.lit(0)))
+        )
+        sums.append(F.array_compact(marks).alias(f"m{s}"))
+    ones = lambda m: F.size(F.filter(m, lambda x: x == 1))
+    totals = [
+        F.struct(
+            F.coalesce(F.sum(ones(f"m{s}")), F.lit(0)).alias("correct"),
+            F.coalesce(F.sum(F.size(f"m{s}")), F.lit(0)).alias("total"),
+            F.lit(s).alias("shift"),
+        )
+        for s in shifts
+    ]
+    rows = df.select(*sums).agg(F.array(*totals).alias("all")).select(F.explode("all").alias("x")).select("x.*")
+    out = rows.withColumn("accuracy", F.coalesce(F.try_divide("correct", "total"), F.lit(0.0)))
+    return out.select("correct", "total", "accuracy", *([] if isinstance(shift, int) else ["shift"]))

@@ -57,23 +57,15 @@ def student_profiles(events: DataFrame, block: int = BLOCK) -> DataFrame:
     """Mastered and weak topics per student in order of arrival, duplicates kept.
 
     ``events``: ``student_id, event_id, topic, assessment``, with ``event_id`` unique and
-    rising on arrival. One row (``part`` 0) holds up to ``block`` graded entries. A
-    student with more gets further parts, numbered by the entry's place in the student's
-    sequence; that place comes from a sort of all such entries together, so no task and
-    no row ever holds a whole long history.
+    rising on arrival. Every student's graded entries are numbered, and ``part`` k holds
+    the entries from ``k * block`` on; a student without any has an empty part 0. The
+    numbers come from a sort of all entries together, so no task and no row ever holds a
+    whole long history, and every student goes the same way.
     """
     graded = events.select("student_id", "event_id", "topic", assessment_outcome("assessment").alias("outcome"))
-    entries = graded.filter(F.col("outcome").isNotNull())
-    busy = entries.groupBy("student_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block)
-    if busy.isEmpty():
-        return graded.groupBy("student_id").agg(
-            F.max_by("topic", "event_id").alias("current_topic"), *_topic_lists()
-        ).select("student_id", F.lit(0).cast("bigint").alias("part"), "current_topic", *LISTS)
-
-    placed = with_group_index(entries.join(busy, "student_id", "left_semi"), ["student_id"], "event_id", name="_at")
-    parts = placed.withColumn("part", F.floor(F.col("_at") / block)).drop("_at")
-    rest = entries.join(busy, "student_id", "left_anti").withColumn("part", F.lit(0).cast("bigint"))
-    lists = rest.unionByName(parts).groupBy("student_id", "part").agg(*_topic_lists())
+    entries = with_group_index(graded.filter(F.col("outcome").isNotNull()), ["student_id"], "event_id", name="_at")
+    parts = entries.withColumn("part", F.floor(F.col("_at") / block))
+    lists = parts.groupBy("student_id", "part").agg(*_topic_lists())
     current = graded.groupBy("student_id").agg(F.max_by("topic", "event_id").alias("current_topic"))
     none = F.array().cast("array<string>")
     return current.join(lists, "student_id", "left").select(

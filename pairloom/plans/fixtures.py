@@ -25,17 +25,20 @@ TOPIC_SOURCES = {
 }
 
 
-def spread(df: DataFrame, static: DataFrame, by: str) -> DataFrame:
-    """A file of a single row group is one task, whatever its size: below the cluster's
-    parallelism the rows are spread before the work on the texts. Larger inputs are not
-    moved."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, by) if static.rdd.getNumPartitions() < cores else df
+# Session setting: deal the texts out to this many partitions before the work on them, for
+# tables of few, large row groups, which a scan cannot split. Unset, nothing is moved.
+SPREAD = "spark.pairloom.spread"
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """The same on every master and for every size: only the session's setting counts."""
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts), by) if parts else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, df, spread_by) if spread_by else df
+    return spread(df, spread_by) if spread_by else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,10 +190,15 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word lengths of every turn as labels, every fourth ignored; predictions are off by
     one at every seventh word."""
-    words_ = words("text")
-    label = F.transform(words_, lambda w, i: F.when(i % 4 == 3, -100).otherwise(F.length(w)))
-    pred = F.transform(words_, lambda w, i: F.length(w) + F.when(i % 7 == 6, 1).otherwise(0))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", label.alias("labels"), pred.alias("predictions"))
+    both = F.transform(
+        words("text"),
+        lambda w, i: F.struct(
+            F.when(i % 4 == 3, -100).otherwise(F.length(w)).alias("label"),
+            (F.length(w) + F.when(i % 7 == 6, 1).otherwise(0)).alias("pred"),
+        ),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", both.alias("_both"))
+    return rows.select("conv_id", "turn", F.col("_both.label").alias("labels"), F.col("_both.pred").alias("predictions"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,7 +155,8 @@ def profile(name: str, x: str, source: str) -> str:
 
 
 def slot(i: int, n, key: str = "sft_index") -> str:
-    return f"(('0x' || substring(sha256('{SEED}:' || {key}), {4 * i + 1}, 4))::BIGINT % {n})"
+    text = f"'{SEED}:' || {key}" + ("" if i < 5 else " || ':1'")
+    return f"(('0x' || substring(sha256({text}), {12 * (i % 5) + 1}, 12))::BIGINT % {n})"
 
 
 NAMES = qlist(fixed.STRATEGIES)

@@ -564,7 +564,7 @@ def _arriving(spark, sf, name, spread_by):
     """The table as a stream of files, spread like the table itself."""
     static = spark.read.parquet(f"{sf}/{name}.parquet")
     files_ = spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-    return fx.spread(files_, static, spread_by)
+    return fx.spread(files_, spread_by)
 
 
 @query

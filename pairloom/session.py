@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Runtime re-planning does the partition sizing; the shuffle partition count is an
-# upper bound which AQE coalesces to the advisory size.
+# Runtime re-planning does the partition sizing: shuffles start with ``initial_partitions``
+# and are merged to the advisory size. For large input give some thousands.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -22,10 +22,14 @@ SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
-def build_session(app: str = "pairloom", master: str | None = None, **conf: str) -> SparkSession:
+def build_session(
+    app: str = "pairloom", master: str | None = None, initial_partitions: int | None = None, **conf: str
+) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if initial_partitions:
+        conf = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial_partitions), **conf}
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -19,6 +19,7 @@ def spark():
         "local[*]",
         **{
             "spark.sql.shuffle.partitions": "8",
+            "spark.pairloom.spread": "8",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",

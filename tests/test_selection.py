@@ -57,7 +57,8 @@ def test_top_n_per_group_both_ways(scored, monkeypatch, n):
 
 def test_first_n(spark, monkeypatch):
     df = spark.createDataFrame([(i,) for i in (5, 0, 9, 2, 7)], "sft_index long")
-    assert sorted(r[0] for r in ranking.first_n(df, 6).collect()) == [0, 2, 5]
+    assert sorted(r[0] for r in ranking.first_n(df, 6, dense=True).collect()) == [0, 2, 5]
+    assert sorted(r[0] for r in ranking.first_n(df, 3).collect()) == [0, 2, 5]
     for limit in (ranking.TOP_K_LIMIT, -1):
         monkeypatch.setattr(ranking, "TOP_K_LIMIT", limit)
         for n, expected in ((0, []), (4, [0, 2, 5, 7]), (9, [0, 2, 5, 7, 9])):
