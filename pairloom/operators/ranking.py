@@ -23,26 +23,33 @@ def rank(df: DataFrame, score: str = "score", tie: str = "pair_id", name: str =
     return with_dense_index(df, *ranked_by(score, tie), name=name, hold=True).withColumn(name, F.col(name) + 1)
 
 
-def top_n(df: DataFrame, n: int, score: str = "score", tie: str = "pair_id") -> DataFrame:
-    """Best ``n`` rows. Give it narrow rows and join the texts back afterwards."""
-    if n <= TOP_K_LIMIT:
+def top_n(df: DataFrame, n: int, score: str = "score", tie: str = "pair_id", limit: int | None = None) -> DataFrame:
+    """Best ``n`` rows. Give it narrow rows and join the texts back afterwards. Above
+    ``limit`` (``TOP_K_LIMIT``) the same rows come from a distributed sort."""
+    if n <= (TOP_K_LIMIT if limit is None else limit):
         return df.orderBy(*ranked_by(score, tie)).limit(n)
     indexed = with_dense_index(df, *ranked_by(score, tie), name="_rank", hold=True)
     return indexed.filter(F.col("_rank") < n).drop("_rank")
 
 
 def top_n_per(
-    df: DataFrame, by: str | Sequence[str], n: int, score: str = "score", tie: str = "pair_id", name: str = "rank"
+    df: DataFrame,
+    by: str | Sequence[str],
+    n: int,
+    score: str = "score",
+    tie: str = "pair_id",
+    name: str = "rank",
+    limit: int | None = None,
 ) -> DataFrame:
     """Best ``n`` rows of each group, with their rank.
 
     For a small ``n`` Spark cuts every group to ``n`` rows per task before the shuffle,
     so a group with a third of all rows moves no more than the others. For a large
-    ``n`` the rows are sorted by group and score together, and the rank is the distance
+    ``n`` (above ``limit``, by default ``GROUP_LIMIT``) the rows are sorted by group and score together, and the rank is the distance
     from the group's first row.
     """
     by = [by] if isinstance(by, str) else list(by)
-    if n <= GROUP_LIMIT:
+    if n <= (GROUP_LIMIT if limit is None else limit):
         window = Window.partitionBy(*by).orderBy(*ranked_by(score, tie))
         kept = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
         return kept.withColumn(name, F.col(name).cast("long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pairloom import fixed, wording
 from pairloom.plans import fixtures as fx
-from pairloom.plans.queries import SEED, TOP, TOP_PER_TOPIC
+from pairloom.plans.queries import PART, SEED, TOP, TOP_PER_TOPIC
 
 SPACE = r"\s\x0b" + "".join(f"\\x{{{ord(c):x}}}" for c in fixed.OTHER_SPACES)
 
@@ -61,14 +61,14 @@ def any_of(x: str, terms) -> str:
     return "(" + " OR ".join(f"contains({x}, {q(t)})" for t in terms) + ")"
 
 
-def answer_points(x: str) -> str:
+def answer_points(x: str, terms=fx.TERMS, indicators=fx.INDICATORS) -> str:
     n, s = f"length({x})", n_sentences(x)
     low = f"lower({x})"
     return f"""least(
       (CASE WHEN {n} < 50 THEN 0.1 WHEN {n} < 100 THEN 0.3 WHEN {n} < 200 THEN 0.6 ELSE 0.9 END)::DOUBLE * {num(.25)}
       + (CASE WHEN {s} >= 4 THEN 0.9 WHEN {s} >= 2 THEN 0.6 ELSE 0.2 END)::DOUBLE * {num(.25)}
-      + least({hits(low, fx.TERMS)} / {num(5.0)}, {num(1.0)}) * {num(.3)}
-      + least({hits(low, fx.INDICATORS)} / {num(4.0)}, {num(1.0)}) * {num(.2)}, {num(1.0)})"""
+      + least({hits(low, terms)} / {num(5.0)}, {num(1.0)}) * {num(.3)}
+      + least({hits(low, indicators)} / {num(4.0)}, {num(1.0)}) * {num(.2)}, {num(1.0)})"""
 
 
 def difference(a: str, b: str) -> str:
@@ -102,7 +102,11 @@ def gate(text: str, *required: str) -> str:
     return "(" + " AND ".join(parts) + ")"
 
 
-COVERED = " + ".join(f"{any_of('both_low', words)}::INT" for words in fx.CATEGORIES)
+def covered(categories) -> str:
+    return " + ".join(f"{any_of('both_low', words)}::INT" for words in categories)
+
+
+COVERED = covered(fx.CATEGORIES)
 SCORED = f"""{FX},
 joined AS (SELECT s.sft_index AS pair_id, s.topic, s.difficulty, s.instruction, s.input, s.output, p.rejected,
                   p.quality_difference, s.instruction || s.input || s.output AS s_text,
@@ -281,7 +285,13 @@ PREFIX = "CASE difficulty " + " ".join(
 ) + " END"
 
 
-def template_ctes(literal: bool) -> str:
+PART_TOPICS = """topics AS (SELECT row_number() OVER (ORDER BY p_name || ' ' || p_partkey) - 1 AS topic_no,
+     p_name || ' ' || p_partkey AS topic, [p_brand, p_type] AS concepts, ['What is ' || p_name] AS questions,
+     [p_type] AS problem_types FROM part)"""
+
+
+def template_ctes(literal: bool, topics: str = f"topics(topic_no, topic, concepts, questions, problem_types) AS (VALUES {TOPIC_ROWS})",
+                  n_topics=len(fixed.KNOWLEDGE)) -> str:
     concepts = replaced("t_instruction", concept="concept")
     both = replaced(concepts, concept1="concept", concept2="concept2")
     body = f"CASE WHEN contains(t_instruction, '{{concept1}}') THEN {both} ELSE {concepts} END"
@@ -296,12 +306,12 @@ def template_ctes(literal: bool) -> str:
     dropped = "WHERE NOT contains(t_instruction, '{problem}')" if literal else ""
     n = len(fixed.TEMPLATES)
     return f"""
-topics(topic_no, topic, concepts, questions, problem_types) AS (VALUES {TOPIC_ROWS}),
+{topics},
 drawn AS (SELECT doc_id AS sft_index FROM documents),
 with_topic AS (SELECT d.sft_index, k.*, {qlist(fixed.PREFIXES)}[{slot(3, 3, 'd.sft_index')} + 1] AS difficulty,
      {qlist([t[0] for t in fixed.TEMPLATES])}[{slot(4, n, 'd.sft_index')} + 1] AS t_instruction,
      {qlist([t[1] for t in fixed.TEMPLATES])}[{slot(4, n, 'd.sft_index')} + 1] AS t_input
-  FROM drawn d JOIN topics k ON k.topic_no = {slot(0, len(fixed.KNOWLEDGE), 'd.sft_index')}),
+  FROM drawn d JOIN topics k ON k.topic_no = {slot(0, n_topics, 'd.sft_index')}),
 with_concept AS (SELECT *, concepts[{slot(1, 'len(concepts)')} + 1] AS concept,
      questions[{slot(6, 'len(questions)')} + 1] AS question,
      problem_types[{slot(7, 'len(problem_types)')} + 1] AS problem_type FROM with_topic),
@@ -413,9 +423,18 @@ PROFILES = f"""SELECT student_id, 0::BIGINT AS part, arg_max(topic, event_id) AS
    coalesce(string_agg(topic, ',' ORDER BY event_id) FILTER (WHERE bad), '') AS weak_topics
    FROM ({GRADED}) GROUP BY 1"""
 
+PROFILE_PARTS = f"""WITH g AS ({GRADED}),
+   e AS (SELECT *, (row_number() OVER (PARTITION BY student_id ORDER BY event_id) - 1) // {PART} AS part FROM g WHERE good OR bad),
+   c AS (SELECT student_id, arg_max(topic, event_id) AS current_topic FROM g GROUP BY 1),
+   p AS (SELECT student_id, part, coalesce(string_agg(topic, ',' ORDER BY event_id) FILTER (WHERE good), '') AS mastered_topics,
+      coalesce(string_agg(topic, ',' ORDER BY event_id) FILTER (WHERE bad), '') AS weak_topics FROM e GROUP BY 1, 2)
+   SELECT student_id, coalesce(part, 0)::BIGINT AS part, current_topic, coalesce(mastered_topics, '') AS mastered_topics,
+      coalesce(weak_topics, '') AS weak_topics FROM c LEFT JOIN p USING (student_id)"""
+
 PROGRESS = f"""SELECT student_id, arg_max(topic, event_id) AS current_topic, count(*) FILTER (WHERE good) AS n_mastered,
    count(*) FILTER (WHERE bad) AS n_weak FROM ({GRADED}) GROUP BY 1"""
 
+VOCABULARY = (fixed.TECHNICAL_TERMS, fixed.QUALITY_INDICATORS)
 SCORE_PARTS = with_(SCORED, f"SELECT pair_id, sft_ok, preference_ok, {SCORE_COLUMNS} FROM scored")
 
 ORACLES: dict[str, str] = {
@@ -429,10 +448,22 @@ ORACLES: dict[str, str] = {
         f"""SELECT * FROM (SELECT pair_id, round(score, 6) AS score,
             row_number() OVER (PARTITION BY topic ORDER BY score DESC, pair_id) AS rank FROM scored) WHERE rank <= {TOP_PER_TOPIC}""",
     ),
+    "topk_per_topic_sorted": with_(
+        SCORED,
+        f"""SELECT * FROM (SELECT pair_id, round(score, 6) AS score,
+            row_number() OVER (PARTITION BY topic ORDER BY score DESC, pair_id) AS rank FROM scored) WHERE rank <= {TOP_PER_TOPIC}""",
+    ),
     "ranked_pairs": with_(
         SCORED, "SELECT pair_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, pair_id) AS rank FROM scored"
     ),
     "score_parts": SCORE_PARTS,
+    "score_parts_default": SCORE_PARTS.replace(COVERED, covered(fixed.CATEGORIES.values())),
+    "curated_topk_sorted": with_(SCORED, "SELECT pair_id, round(score, 6) AS score FROM topk"),
+    "curated_per_topic": with_(
+        SCORED,
+        f"""SELECT {FLAT} FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, pair_id) AS rank FROM scored)
+        WHERE rank <= {TOP_PER_TOPIC}""",
+    ),
     "stream_scores": SCORE_PARTS,
     "gate_flags": with_(SCORED, "SELECT pair_id AS sft_index, sft_ok, preference_ok FROM scored"),
     "unzipped_sides": with_(
@@ -446,7 +477,7 @@ ORACLES: dict[str, str] = {
         (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS pos FROM documents)
         JOIN (SELECT doc_id AS label_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS pos FROM labels) USING (pos)""",
     "first_rows": f"SELECT * FROM labels ORDER BY doc_id LIMIT {TOP_PER_TOPIC}",
-    "resume_hwm": "SELECT doc_id AS sft_index, lang FROM documents WHERE doc_id > (SELECT max(doc_id) FROM labels WHERE quality = 0)",
+    "resume_hwm": "SELECT doc_id AS sft_index, lang FROM documents WHERE doc_id > (SELECT max(doc_id) FROM labels)",
     "resume_by_key": "SELECT doc_id AS sft_index, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "resume_fresh_ids": """SELECT unnest(range((SELECT max(doc_id) + 1 FROM labels), (SELECT max(doc_id) + 1 FROM labels)
         + greatest((SELECT count(*) FROM documents) - (SELECT count(*) FROM labels), 0))) AS sft_index""",
@@ -455,8 +486,10 @@ ORACLES: dict[str, str] = {
     "jsonl_round_trip": with_(
         FX,
         r"""SELECT sft_index, instruction, input, output, true AS parsed FROM fx_sft UNION ALL
-        SELECT NULL, regexp_replace(text, '[\r\n]+', ' ', 'g'), NULL, NULL, false FROM conversations WHERE role = 'system'""",
+        SELECT NULL, regexp_replace(text, '[\r\n]+', ' ', 'g'), NULL, NULL, false FROM conversations WHERE regexp_matches(text, '[^""" + SPACE + r"""]')""",
     ),
+    "json_array_round_trip": with_(FX, "SELECT sft_index, instruction, input, output FROM fx_sft"),
+    "continued_write": "SELECT doc_id AS sft_index, lang, source FROM documents",
     "split_failures": with_(
         FX, f"SELECT sft_index, CASE WHEN {visible('output')} THEN 'ok' ELSE 'failed' END AS state FROM fx_sft"
     ),
@@ -508,6 +541,15 @@ ORACLES: dict[str, str] = {
     ),
     "template_rows": with_(template_ctes(False), "SELECT * FROM made"),
     "template_rows_literal": with_(template_ctes(True), "SELECT * FROM made"),
+    "template_rows_wide": with_(template_ctes(False, PART_TOPICS, "(SELECT count(*) FROM part)"), "SELECT * FROM made"),
+    "generated_rows": with_(
+        f"""{template_ctes(False)}, asked AS (SELECT *, CASE WHEN {visible('input')}
+        THEN {filled(wording.ANSWER_USER_WITH_INPUT, instruction='instruction', input='input')}
+        ELSE {filled(wording.ANSWER_USER, instruction='instruction')} END AS request FROM made)""",
+        f"""SELECT sft_index, instruction, CASE WHEN contains(substring(request, 1, 40), ':') THEN {FALLBACK_ANSWER}
+        ELSE {stripped('request')} END AS output,
+        CASE WHEN contains(substring(request, 1, 40), ':') THEN 'ValueError: refused' END AS error FROM asked""",
+    ),
     "fallback_answers": with_(template_ctes(False), f"SELECT sft_index, {FALLBACK_ANSWER} AS output FROM made"),
     "answer_prompts": with_(
         template_ctes(False),
@@ -537,6 +579,11 @@ ORACLES: dict[str, str] = {
         f"""SELECT sft_index, round({answer_points('chosen')}, 6) AS chosen_score, round({answer_points('rejected')}, 6) AS rejected_score,
         round(quality_difference, 6) AS quality_difference FROM fx_pref""",
     ),
+    "answer_quality_default": with_(
+        FX,
+        f"""SELECT sft_index, round(a, 6) AS chosen_score, round(b, 6) AS rejected_score, round(greatest(a - b, {num(0.0)}), 6) AS quality_difference
+        FROM (SELECT sft_index, {answer_points('chosen', *VOCABULARY)} AS a, {answer_points('rejected', *VOCABULARY)} AS b FROM fx_pref)""",
+    ),
     "weak_pairs": with_(
         WEAK, "SELECT weak AS retried, sft_index, degradation_strategy, rejected, round(quality_difference, 6) AS quality_difference FROM kept"
     ),
@@ -549,6 +596,10 @@ ORACLES: dict[str, str] = {
         f"""SELECT prompt, chosen, rejected, {REASON} AS reason, array_to_string(names, ',') AS criteria_used, topic, difficulty,
         round(quality_difference, 6) AS quality_difference, degradation_strategy, sft_index FROM sampled""",
     ),
+    "preference_first_n": with_(
+        BY_RULE.replace("FROM cut2)", f"FROM cut2 WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT {TOP}))"),
+        "SELECT sft_index, prompt, chosen, rejected, degradation_strategy FROM kept",
+    ),
     "model_preferences": with_(
         BY_MODEL, "SELECT sft_index, degradation_strategy, rejected, round(quality_difference, 6) AS quality_difference FROM kept"
     ),
@@ -621,9 +672,16 @@ ORACLES: dict[str, str] = {
     "level_difficulty": with_(REQUESTS, "SELECT current_level, difficulty, count(*) AS n FROM r2 GROUP BY 1, 2"),
     "assessment_outcome": f"SELECT event_id, CASE WHEN good THEN 'mastered' WHEN bad THEN 'weak' END AS outcome FROM ({GRADED})",
     "error_answers": with_(
-        REQUESTS, f"SELECT request_id, 'Error in ' || {AGENT} || ': ' || props AS answer FROM r2 WHERE command <> 'unknown'"
+        REQUESTS, f"SELECT request_id, 'Error in ' || coalesce({AGENT}, '') || ': ' || props AS answer FROM r2"
+    ),
+    "tutor_answers": with_(
+        REQUESTS,
+        f"""SELECT request_id, ({by_command({k: q(f'{t:.1f} ') for k, (_, t) in fixed.AGENTS.items()})})
+        || {stripped(by_command({k: filled(t, **TUTOR_SLOTS) for k, t in wording.TUTOR_USER.items()}))} AS response,
+        NULL::VARCHAR AS error FROM r2""",
     ),
     "student_profiles": PROFILES,
+    "student_profiles_parts": PROFILE_PARTS,
     "stream_profiles": PROFILES,
     "student_progress": PROGRESS,
     "stream_progress": PROGRESS,

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom import fixed
+from pairloom.config import ScoreConfig
 from pairloom.functions import prompts, tutoring
-from pairloom.functions.draws import digest, draw
-from pairloom.functions.scoring import answer_score, preference_gate, sft_gate, spaced
+from pairloom.functions.scoring import answer_score, preference_gate, quality_difference, sft_gate, spaced
 from pairloom.functions.text import not_blank
 from pairloom.operators import judging, pairing, preferences, profiling, ranking, templates, training, tutor
 from pairloom.operators.indexing import with_dense_index
@@ -24,6 +24,8 @@ QUERIES: dict[str, Query] = {}
 
 TOP = 300
 TOP_PER_TOPIC = 20
+PART = 3
+ARRAY = "sft_index bigint, instruction string, input string, output string"
 SEED = fixed.SPLIT_SEED
 
 
@@ -94,6 +96,37 @@ def gate_flags(spark, sf):
     return left.join(right, "sft_index")
 
 
+@query
+def curated_topk_sorted(spark, sf):
+    """The same selection by a distributed sort instead of an ordered limit, and with the
+    ids joined by shuffle: what a large ``n`` takes."""
+    scored = pairing.score_pairs(fx.sft(spark, sf), fx.preferences(spark, sf), fx.SCORING)
+    return rounded(ranking.top_n(scored.select("pair_id", "score"), TOP, limit=0), "score")
+
+
+@query
+def topk_per_topic_sorted(spark, sf):
+    scored = pairing.score_pairs(fx.sft(spark, sf), fx.preferences(spark, sf), fx.SCORING, keep=("topic",))
+    kept = ranking.top_n_per(scored.select("pair_id", "score", "topic"), "topic", TOP_PER_TOPIC, limit=0)
+    return rounded(kept.select("pair_id", "score", "rank"), "score")
+
+
+@query
+def curated_per_topic(spark, sf):
+    """The best pairs of every topic, with their texts."""
+    kept = curation.curate_pairs(
+        fx.sft(spark, sf), fx.preferences(spark, sf), TOP_PER_TOPIC, fx.SCORING, per="topic"
+    )
+    return _flat(kept)
+
+
+@query
+def score_parts_default(spark, sf):
+    """Scores with the published vocabularies."""
+    scored = pairing.score_pairs(fx.sft(spark, sf), fx.preferences(spark, sf), ScoreConfig())
+    return rounded(scored, *pairing.SCORES)
+
+
 @query
 def unzipped_sides(spark, sf):
     kept = curation.curate_pairs(fx.sft(spark, sf), fx.preferences(spark, sf), TOP, fx.SCORING)
@@ -130,9 +163,9 @@ def first_rows(spark, sf):
 
 @query
 def resume_hwm(spark, sf):
-    mark = fx.table(spark, sf, "labels").filter("quality = 0").select(F.col("doc_id").alias("sft_index"))
+    """Documents above the highest labelled one."""
     src = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("sft_index"), "lang")
-    return resume.pending_by_hwm(src, mark)
+    return resume.pending_by_hwm(src, fx.reviewed(spark, sf))
 
 
 @query
@@ -164,8 +197,8 @@ def jsonl_round_trip(spark, sf):
     rows = fx.sft(spark, sf)
     files.append_jsonl(rows.filter("input = ''"), path)
     files.append_jsonl(rows.filter("input <> ''"), path)
-    # Secrets and markup in the turns are not JSON: appended as text, they are the bad lines.
-    fx.table(spark, sf, "conversations").filter("role = 'system'").select(
+    # Turns are not JSON: appended as text, they are the bad lines.
+    fx.table(spark, sf, "conversations").select(
         F.regexp_replace("text", r"[\r\n]+", " ").alias("value")
     ).write.mode("append").text(path)
     good, bad = files.read_jsonl(spark, path, schemas.SFT)
@@ -175,6 +208,31 @@ def jsonl_round_trip(spark, sf):
     )
 
 
+@query
+def json_array_round_trip(spark, sf):
+    """Written as one indented JSON array per part, read back in splits."""
+    path = fresh_dir(spark, "array")
+    rows = fx.sft(spark, sf).select("sft_index", "instruction", "input", "output")
+    pretty = F.regexp_replace(F.to_json(F.struct("*"), {"pretty": "true"}), "(?m)^", "  ")
+    # One array per block of keys: a file holds one array.
+    bodies = rows.select((F.col("sft_index") / 500).cast("int").alias("block"), "sft_index", pretty.alias("j"))
+    one = bodies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("sft_index", "j"))).alias("all"))
+    array = F.concat(F.lit("[\n"), F.array_join(F.transform("all", lambda x: x["j"]), ",\n"), F.lit("\n]"))
+    one.select("block", array.alias("value")).write.partitionBy("block").text(path)
+    return files.read_json_array(spark, f"{path}/*/*.txt", ARRAY, indent=2)
+
+
+@query
+def continued_write(spark, sf):
+    """A dataset written whole, then continued with the rows that were missing."""
+    path = fresh_dir(spark, "dataset")
+    src = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("sft_index"), "lang", "source")
+    files.write_dataset(src.join(fx.reviewed(spark, sf), "sft_index", "left_semi"), path, mode="overwrite")
+    done = spark.read.parquet(path)
+    files.write_dataset(resume.pending_by_key(src, done), path, mode="continue")
+    return spark.read.parquet(path)
+
+
 @query
 def split_failures(spark, sf):
     """Rows whose answer failed, apart from the others; none stops the job."""
@@ -293,6 +351,26 @@ def template_rows_literal(spark, sf):
     return templates.template_rows(_ids(spark, sf), SEED, literal=True)
 
 
+@query
+def template_rows_wide(spark, sf):
+    """A topic per part of the catalogue; their numbers come from the operator."""
+    parts = fx.table(spark, sf, "part")
+    topics = parts.select(
+        F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("topic"),
+        F.array("p_brand", "p_type").alias("concepts"),
+        F.array(F.concat(F.lit("What is "), F.col("p_name"))).alias("questions"),
+        F.array("p_type").alias("problem_types"),
+    )
+    return templates.template_rows(_ids(spark, sf), SEED, knowledge=topics)
+
+
+@query
+def generated_rows(spark, sf):
+    """Template rows with a model's answer, or the fallback answer."""
+    made = templates.generate_rows(_ids(spark, sf), echo, SEED)
+    return made.select("sft_index", "instruction", "output", "error")
+
+
 @query
 def fallback_answers(spark, sf):
     rows = templates.template_rows(_ids(spark, sf), SEED)
@@ -322,6 +400,15 @@ def echo():
     return ask
 
 
+def echo_with_settings():
+    """The same for many requests at a time, telling the temperature each came with."""
+
+    def ask_many(requests: list[dict]) -> list[str]:
+        return [f"{r['temperature']:.1f} {r['user']}" for r in requests]
+
+    return ask_many
+
+
 @query
 def responder_echo(spark, sf):
     rows = fx.chat(spark, sf)
@@ -373,6 +460,18 @@ def answer_quality(spark, sf):
     )
 
 
+@query
+def answer_quality_default(spark, sf):
+    """Answer scores with the published vocabularies."""
+    pref = fx.preferences(spark, sf)
+    return pref.select(
+        "sft_index",
+        r6(answer_score("chosen")).alias("chosen_score"),
+        r6(answer_score("rejected")).alias("rejected_score"),
+        r6(quality_difference("chosen", "rejected")).alias("quality_difference"),
+    )
+
+
 @query
 def weak_pairs(spark, sf):
     """Pairs that get a second try, and what comes of it."""
@@ -400,6 +499,13 @@ def preference_rows(spark, sf):
     )
 
 
+@query
+def preference_first_n(spark, sf):
+    """Preference rows for the first instruction rows only."""
+    made = preferences.build_preferences(fx.sft(spark, sf), cfg=fx.ANSWERS, n=TOP)
+    return made.select("sft_index", "prompt", "chosen", "rejected", "degradation_strategy")
+
+
 @query
 def model_preferences(spark, sf):
     """The same with a model call per row and a second call for weak rows only."""
@@ -450,10 +556,7 @@ def truncation_share(spark, sf):
 
 @query
 def masked_accuracy(spark, sf):
-    rows = fx.token_rows(spark, sf)
-    plain = training.masked_accuracy(rows, "predictions", "labels").withColumn("shift", F.lit(0))
-    moved = training.masked_accuracy(rows, "predictions", "labels", shift=1).withColumn("shift", F.lit(1))
-    return rounded(plain.unionByName(moved), "accuracy")
+    return rounded(training.masked_accuracy(fx.token_rows(spark, sf), "predictions", "labels", shift=(0, 1)), "accuracy")
 
 
 @query
@@ -537,10 +640,21 @@ def assessment_outcome(spark, sf):
 
 @query
 def error_answers(spark, sf):
-    rows = tutor.request_prompts(fx.requests(spark, sf)).filter(F.col("agent").isNotNull())
+    """What a failed request says, with an empty name where no agent would have taken it."""
+    rows = tutor.request_prompts(fx.requests(spark, sf))
     return rows.select("request_id", tutoring.error_answer("agent", "target").alias("answer"))
 
 
+@query
+def tutor_answers(spark, sf):
+    """Every request sent with its agent's temperature, many at a time."""
+    rows = tutor.request_prompts(fx.requests(spark, sf))
+    answered = respond(
+        rows, "system", "user", echo_with_settings, settings={"temperature": "temperature"}, batch=True
+    )
+    return answered.select("request_id", "response", "error")
+
+
 def _listed(profile: DataFrame) -> DataFrame:
     return profile.withColumns(
         {c: F.array_join(c, ",") for c in ("mastered_topics", "weak_topics")}
@@ -552,6 +666,12 @@ def student_profiles(spark, sf):
     return _listed(tutor.student_profiles(fx.assessments(fx.table(spark, sf, "events"))))
 
 
+@query
+def student_profiles_parts(spark, sf):
+    """The same in parts of a few entries."""
+    return _listed(tutor.student_profiles(fx.assessments(fx.table(spark, sf, "events")), block=PART))
+
+
 @query
 def student_progress(spark, sf):
     return tutor.student_progress(fx.assessments(fx.table(spark, sf, "events")))
