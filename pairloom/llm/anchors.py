@@ -31,7 +31,7 @@ from pairloom.llm.tables import partitions
 PACK = 1 << 10
 PLACE_BITS = 24
 ROWS_AT_ONCE = 1 << 18
-HEAVY_PER_PARTITION = 8
+HEAVY_PER_PARTITION = 1
 
 STRETCH = "h long, c long, doc long, at long"
 
