@@ -16,7 +16,7 @@ HEADLINE = [
     "profile_grouping_sets", "template_rows", "fallback_answers", "degraded_answers",
     "answer_quality", "weak_pairs", "preference_rows", "chat_sft", "chat_dpo", "split_exact",
     "token_budget", "masked_accuracy", "judge_summary", "request_prompts", "student_profiles",
-    "responder_echo", "stream_scores", "stream_profiles",
+    "responder_echo", "stream_scores", "stream_profiles", "score_parts_default", "answer_quality_default",
 ]
 RUNS = 3
 
