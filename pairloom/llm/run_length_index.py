@@ -24,7 +24,7 @@ from pairloom.llm.substring_dedup import covered, edges
 from pairloom.llm.tables import partitions, stored
 
 WINDOW, SEED = 100, 24
-STRINGS_AT_ONCE = 4096
+STRINGS_AT_ONCE = 8192
 RESULT = "n_bytes long, n_removed long, runs array<struct<start:int,end:int>>, kept binary"
 
 
@@ -62,73 +62,91 @@ class RunLengthIndex:
         """Length of the common prefix of the suffixes at a and b, at most ``most``."""
         got = np.zeros(len(a), np.int64)
         step = 1 << max(0, int(most.max(initial=0)).bit_length() - 1)
-        n = len(self.text)
+        room = np.minimum(most, len(self.text) - np.maximum(a, b))
+        sums, back = self.sums.sums, self.sums.back
         while step:
-            ok = np.flatnonzero((got + step <= most) & (a + got + step <= n) & (b + got + step <= n))
-            x, y = a[ok] + got[ok], b[ok] + got[ok]
-            got[ok[self.sums.of(x, x + step) == self.sums.of(y, y + step)]] += step
+            x, y = a + got, b + got
+            ok = got + step <= room
+            last = len(sums) - 1
+            left = (sums[np.minimum(x + step, last)] - sums[x]) * back[x]
+            got += step * (ok & (left == (sums[np.minimum(y + step, last)] - sums[y]) * back[y]))
             step >>= 1
         return got
 
-    def matching_statistics(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each place in the query strings, how long a match with the index starts there."""
+    def matching_statistics(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 40) -> np.ndarray:
+        """For each place in the query strings, how long a match with the index starts there,
+        counted up to ``most``."""
         out = np.zeros(len(symbols), np.int64)
         query = symbols + self.shift
-        where, row = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        where += self.first_at[0]
-        size = np.zeros(len(starts), np.int64)
-        for back in range(1, int((ends - starts).max(initial=0)) + 1):
-            live = np.flatnonzero(ends - back >= starts)
-            at = ends[live] - back
-            c = query[at]
-            code = np.minimum(np.searchsorted(self.alphabet, c), len(self.alphabet) - 1)
-            known = self.alphabet[code] == c
-            run = np.searchsorted(self.run, row[live], side="right") - 1
-            same = known & (self.symbol[run] == c)
-            jump = np.flatnonzero(known & ~same)
+        codes = np.minimum(np.searchsorted(self.alphabet, query), len(self.alphabet) - 1)
+        found = self.alphabet[codes] == query
+        # Longest first, so the strings that still have bytes left are a slice.
+        order = np.argsort(starts - ends, kind="stable")
+        ends = ends[order]
+        lengths = ends - starts[order]
+        wheres, rows, sizes = np.full(len(ends), self.first_at[0]), np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+        for back in range(1, int(lengths.max(initial=0)) + 1):
+            n = int(np.searchsorted(-lengths, -back, side="right"))
+            where, row, size = wheres[:n], rows[:n], sizes[:n]
+            at = ends[:n] - back
+            code, known = codes[at], found[at]
+            run = np.searchsorted(self.run, row, side="right") - 1
+            jump = np.flatnonzero(known & (self.code[run] != code))
             if len(jump):
+                m = len(jump)
                 key = np.searchsorted(self.keys, code[jump] * len(self.run) + run[jump])
-                here, have = where[live[jump]], size[live[jump]]
-                choice = []
-                for place in (key - 1, key):
-                    inside = np.clip(place, 0, len(self.keys) - 1)
-                    r = self.runs_by_symbol[inside]
-                    fits = (place == inside) & (self.code[r] == code[jump])
-                    at_r = self.last_at[r] if not choice else self.first_at[r]
-                    choice.append((np.where(fits, self._common(at_r, here, np.where(fits, have, 0)), -1), r, at_r))
-                up = choice[0][0] >= choice[1][0]
-                kept = np.where(up, choice[0][0], choice[1][0])
-                run[jump] = np.where(up, choice[0][1], choice[1][1])
-                where[live[jump]] = np.where(up, choice[0][2], choice[1][2])
-                size[live[jump]] = np.maximum(0, kept)
-                row[live[jump]] = np.where(up, self.stop[run[jump]] - 1, self.run[run[jump]])
-            on = live[known]
-            row[on] = self.to[run[known]] + row[on] - self.run[run[known]]
-            where[on] -= 1
-            size[on] += 1
-            off = live[~known]
-            row[off], where[off], size[off] = 0, self.first_at[0], 0
-            out[at] = size[live]
+                here, have = where[jump], size[jump]
+                # The last row of the nearest run above, the first row of the nearest below.
+                near = np.concatenate([key - 1, key])
+                inside = np.clip(near, 0, len(self.keys) - 1)
+                r = self.runs_by_symbol[inside]
+                twice = np.concatenate([code[jump], code[jump]])
+                fits = (inside == near) & (self.code[r] == twice)
+                at_r = np.concatenate([self.last_at[r[:m]], self.first_at[r[m:]]])
+                most_here = np.where(fits, np.concatenate([have, have]), 0)
+                common = np.where(fits, self._common(at_r, np.concatenate([here, here]), most_here), -1)
+                up = common[:m] >= common[m:]
+                pick = np.where(up, np.arange(m), np.arange(m) + m)
+                run[jump], where[jump] = r[pick], at_r[pick]
+                size[jump] = np.maximum(0, common[pick])
+                row[jump] = np.where(up, self.stop[r[pick]] - 1, self.run[r[pick]])
+            rows[:n] = np.where(known, self.to[run] + row - self.run[run], 0)
+            wheres[:n] = np.where(known, where - 1, self.first_at[0])
+            sizes[:n] = np.where(known, np.minimum(size + 1, most), 0)
+            out[at] = sizes[:n]
         return out
 
 
 def _suffix_order(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes by doubling. The separators differ, so ranks become distinct
-    once the longest common part of two strings is covered."""
+    """Order of all suffixes by doubling; only suffixes that are still tied are sorted again.
+    The separators differ, so no tie outlasts the longest common part of two strings."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(text, kind="stable")
+    ranked = text[order]
+    first = np.flatnonzero(np.diff(ranked, prepend=ranked[0] - 1))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(first, np.diff(np.append(first, n)))
+    tied = order[np.repeat(np.diff(np.append(first, n)) > 1, np.diff(np.append(first, n)))]
     step = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.diff(sorted_key, prepend=sorted_key[0]) != 0)
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order
+    while len(tied):
+        after = np.zeros(len(tied), np.int64)
+        inside = tied + step < n
+        after[inside] = rank[tied[inside] + step] + 1
+        key = rank[tied] * (n + 1) + after
+        by = np.argsort(key)
+        tied, key = tied[by], key[by]
+        old = rank[tied]
+        place = np.arange(len(tied))
+        group = np.flatnonzero(np.diff(old, prepend=-1))
+        place -= np.repeat(group, np.diff(np.append(group, len(tied))))
+        fresh = np.flatnonzero(np.diff(key, prepend=-1))
+        size = np.diff(np.append(fresh, len(tied)))
+        rank[tied] = old + np.repeat(place[fresh], size)
+        tied = tied[np.repeat(size > 1, size)]
         step *= 2
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 def later_windows(group: np.ndarray, strings: list[bytes], n: np.ndarray, window: int) -> np.ndarray:
@@ -156,7 +174,7 @@ def later_windows(group: np.ndarray, strings: list[bytes], n: np.ndarray, window
         symbols = data + np.repeat(part, lengths) * 256
         inside = np.repeat(take & ~asks, lengths)
         index = RunLengthIndex(symbols[inside], np.cumsum(lengths[old]))
-        sizes = index.matching_statistics(symbols, ends[new] - lengths[new], ends[new])
+        sizes = index.matching_statistics(symbols, ends[new] - lengths[new], ends[new], window)
         owner = np.repeat(new, n[new])
         offset = np.arange(len(owner)) - np.repeat(np.cumsum(n[new]) - n[new], n[new])
         marks[first_window[owner] + offset] |= sizes[ends[owner] - lengths[owner] + offset] >= window
