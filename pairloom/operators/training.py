@@ -46,7 +46,9 @@ def split_exact(
     """Add ``split``: exactly ``floor(ratio * n)`` rows are ``train``, shuffled by a hash.
 
     The cut is found from counts over the key alone; the rows themselves are then only
-    compared with it and never move. The key must be unique.
+    compared with it and never move. The counts run at once, and each pass reads the key
+    again: cheap over Parquet, dear over a table that is still to be computed, which
+    should be written first. The key must be unique; a repeat is seen only at the cut.
     """
     hashed = split_key(seed, *key)
     cut = hash_cut(df, hashed, ratio)
