@@ -13,11 +13,13 @@ a signature that linked sets share. Three refinements:
   with two or more shingles then matches up to one difference and counts double. A cost
   estimate decides this for each band.
 * A signature with many sets is skipped for every set that has enough others; only sets
-  without spare segments are compared with its members, in blocks.
+  without spare segments are compared with its members: first with one of them, then, in
+  blocks, across what still are different components.
 
-Candidates pass an exact bound on histograms of the shingle hashes and are then verified on
-the whole sets. Members of a signature are first compared with one of them only; the rest
-is compared across what then still are different components.
+The spare segments also count: a linked pair shares one signature more than the spare ones
+that it has not lost to skipped signatures, so pairs that share fewer are dropped. What is
+left passes an exact bound on histograms of the shingle hashes, coarse and fine, and is
+verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -45,11 +47,11 @@ BROADCAST_ROWS = 2_000_000
 #: Chance that an unrelated set of the band holds a given shingle, for the cost estimate.
 CHANCE = 1e-6
 SMALL_BAND = 6
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 
 INFO = "doc long, node long, check long, size long, short boolean, cells binary"
 SIGNATURES = "bucket int, sig binary, node binary, size binary, band binary, units binary, spare binary"
-MEMBERS = "g long, node long, size int, band int, units int, spare int, n int, leader long, leader_size int"
+FOUND = "g long, node long, size int, band int, units int, spare int, n int, other long, other_size int, other_spare int"
 _PARTS = (("sig", np.uint64), ("node", np.int64), ("size", np.int32), ("band", np.int8), ("units", np.int8), ("spare", np.int32))
 
 
@@ -147,7 +149,7 @@ class Sets:
         start = np.zeros(self.n_rows, np.int64)
         head = np.flatnonzero(np.diff(owner, prepend=-1))
         start[owner[head]] = before[head]
-        kept = before - start[owner] < need[owner] + need[owner] // 4 + 4
+        kept = before - start[owner] < need[owner] + need[owner] // 5 + 4
         have = np.bincount(owner[kept], units[kept], minlength=self.n_rows).astype(np.int64)
         spare = have - need
         member = np.cumsum(new) - 1
@@ -194,7 +196,7 @@ def _describe(texts: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _signature_rows(texts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
-    """Signatures packed by bucket: one row per bucket and about a million signatures."""
+    """Signatures packed by bucket: one row per bucket and ``FLUSH`` signatures."""
 
     def pack(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         whole = {k: np.concatenate([x[k] for x in held]) for k, _ in _PARTS}
@@ -234,11 +236,13 @@ def _signature_rows(texts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
     return texts.mapInArrow(emit, SIGNATURES)
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """Sets that share a signature with another one, bucket after bucket."""
+def _collisions(rows: DataFrame) -> DataFrame:
+    """Sets that share a signature, bucket after bucket. Up to ``FEW`` of them: a row per
+    pair of ``node`` and ``other``, without ``g``. More: a row per set, with the first set of
+    the signature as ``other``."""
 
-    def collide(held: list[list[bytes]]) -> pa.RecordBatch:
-        parts = {k: np.frombuffer(b"".join(x[i] for x in held), t) for i, (k, t) in enumerate(_PARTS)}
+    def collide(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        parts = {k: np.concatenate([scan.utf8(x.column(k))[0] for x in held]).view(t) for k, t in _PARTS}
         order = np.lexsort((parts["node"], parts["sig"]))
         sig, node = parts["sig"][order], parts["node"][order]
         new = np.ones(len(sig), bool)
@@ -246,34 +250,48 @@ def _members(rows: DataFrame) -> DataFrame:
         order, sig = order[new], sig[new]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         count = np.diff(np.append(first, len(sig)))
-        several = np.repeat(count > 1, count)
-        lead = order[np.repeat(first, count)][several]
-        order = order[several]
+        of_row = np.repeat(count, count)
+        small = (of_row > 1) & (of_row <= FEW)
+        size = parts["size"][order].astype(np.int64)
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for gap in range(1, FEW):
+            i = np.flatnonzero(small[:-gap] & (sig[:-gap] == sig[gap:])) if len(sig) > gap else left[0]
+            i = i[4 * np.minimum(size[i], size[i + gap]) >= 3 * np.maximum(size[i], size[i + gap])]
+            left.append(i)
+            right.append(i + gap)
+        many = np.flatnonzero(of_row > FEW)
+        one = order[np.concatenate([*left, many])]
+        two = order[np.concatenate([*right, np.repeat(first, count)[many]])]
+        n_pairs = len(one) - len(many)
+        kinds = {"size": np.int32, "band": np.int32, "units": np.int32, "spare": np.int32}
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(parts["sig"][order].view(np.int64)),
-                *[pa.array(parts[k][order].astype(t)) for k, t in (("node", np.int64), ("size", np.int32), ("band", np.int32), ("units", np.int32), ("spare", np.int32))],
-                pa.array(np.repeat(count, count)[several].astype(np.int32)),
-                pa.array(parts["node"][lead]),
-                pa.array(parts["size"][lead]),
+                pa.array(parts["sig"][one].view(np.int64), mask=np.arange(len(one)) < n_pairs),
+                pa.array(parts["node"][one]),
+                *[pa.array(parts[k][one].astype(t)) for k, t in kinds.items()],
+                pa.array(np.concatenate([np.zeros(n_pairs), of_row[many]]).astype(np.int32)),
+                pa.array(parts["node"][two]),
+                pa.array(parts["size"][two]),
+                pa.array(parts["spare"][two]),
             ],
-            names=["g", "node", "size", "band", "units", "spare", "n", "leader", "leader_size"],
+            names=["g", "node", "size", "band", "units", "spare", "n", "other", "other_size", "other_spare"],
         )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for b, *values in zip(*columns, strict=True):
-                if b != bucket and held:
+            number = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.diff(number, prepend=-1)).tolist()
+            for a, b in zip(starts, [*starts[1:], len(number)], strict=True):
+                if number[a] != bucket and held:
                     yield collide(held)
                     held = []
-                bucket = b
-                held.append(values)
+                bucket = number[a]
+                held.append(batch.slice(a, b - a))  # a view, not a copy
         if held:
             yield collide(held)
 
-    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(emit, MEMBERS)
+    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(emit, FOUND)
 
 
 def _similar_sizes(a: str, b: str) -> Column:
@@ -322,7 +340,8 @@ def _compare(rows: DataFrame) -> DataFrame:
 
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """``node, tokens`` for the wanted ``doc, node``, each of one document."""
+    """``node, tokens, fine`` for the wanted ``doc, node``, each of one document; ``fine`` is a
+    histogram of about as many cells as the set has tokens."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,23 +351,52 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
                 node = sets.hashed(2 * plan.salt).view(np.int64)
                 # An id may stand for several texts; only the wanted set counts.
                 right = pa.array(node == ids.to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([ids, tokens], names=["node", "tokens"]).filter(right)
+                fine = pa.array([_fine(sets.token[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, tokens, fine], names=["node", "tokens", "fine"]).filter(right)
 
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     picked = docs.join(F.broadcast(wanted) if few else wanted, "doc").select("node", "text")
-    return picked.mapInArrow(emit, "node long, tokens array<long>")
+    return picked.mapInArrow(emit, "node long, tokens array<long>, fine binary")
+
+
+def _fine(token: np.ndarray) -> bytes:
+    bits = max(6, int(len(token)).bit_length())
+    cells = np.bincount((token >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
+def _finely_plausible(a: pa.Array, b: pa.Array, total: pa.Array) -> pa.Array:
+    """The bound on the fine histograms; the longer one is folded to the shorter. A full
+    cell may hold more than it says, and is left out."""
+    out = []
+    for x, y, n in zip(a, b, total.to_pylist(), strict=True):
+        x, y = (np.frombuffer(v.as_buffer(), np.uint8).astype(np.int32) for v in (x, y))
+        cells = min(len(x), len(y))
+        full = [(v.reshape(cells, -1) == 255).any(axis=1) for v in (x, y)]
+        x, y = x.reshape(cells, -1).sum(axis=1), y.reshape(cells, -1).sum(axis=1)
+        out.append(bool(7 * np.abs(x - y)[~(full[0] | full[1])].sum() <= n))
+    return pa.array(out, pa.bool_())
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, info: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+    """The pairs whose whole sets are similar enough. Sets travel for those pairs only that
+    the fine histograms do not rule out."""
     pairs = stored(pairs, "candidates")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = stored(info.groupBy("node").agg(F.min("doc").alias("doc")).join(nodes, "node", "left_semi"), "wanted")
-    sets = stored(_token_sets(texts, wanted, plan).dropDuplicates(["node"]), "token-sets")
-    left = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("tokens", "ta"), "a")
-    both = left.join(sets.withColumnRenamed("node", "b").withColumnRenamed("tokens", "tb"), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(common * 100 >= (F.size("ta") + F.size("tb") - common) * 75).select("a", "b")
+    sets = stored(_token_sets(texts, wanted, plan), "token-sets")
+
+    def joined(rows: DataFrame, what: str) -> DataFrame:
+        for side in ("a", "b"):
+            part = sets.select(F.col("node").alias(side), F.col(what).alias(f"_{side}"), F.size("tokens").alias(f"_n{side}"))
+            rows = rows.join(part, side)
+        return rows
+
+    plausible = F.arrow_udf(_finely_plausible, "boolean")
+    left = joined(pairs, "fine").filter(plausible("_a", "_b", F.col("_na") + F.col("_nb"))).select("a", "b")
+    both = joined(stored(left.distinct(), "plausible"), "tokens")
+    common = F.size(F.array_intersect("_a", "_b"))
+    return both.filter(common * 100 >= (F.col("_na") + F.col("_nb") - common) * 75).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,29 +416,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = info.filter("size > 0 and doc is not null").select("doc", "node", "size", "cells")
     cells = sets.groupBy("node").agg(F.any_value("cells").alias("cells"), F.any_value("size").alias("size"))
 
-    members = stored(_members(_signature_rows(texts.filter("doc is not null"), plan, 4 * partitions(spark))), "members")
+    found = stored(_collisions(_signature_rows(texts.filter("doc is not null"), plan, 4 * partitions(spark))), "collisions")
+    members, shared = found.filter("g is not null"), found.filter("g is null")
+    lost = stored(members.groupBy("node", "band").agg(F.sum("units").alias("lost"), F.max("spare").alias("spare")), "lost")
+    tight = lost.filter("lost > spare").select("node", "band").withColumn("tight", F.lit(True))
+
     plausible = F.arrow_udf(_plausible, "boolean")
-    star = members.filter((F.col("node") != F.col("leader")) & _similar_sizes("size", "leader_size"))
-    star = star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(cells.select(F.col("node").alias("a"), F.col("cells").alias("ca"), F.col("size").alias("sa")), "a")
-    star = star.join(cells.select(F.col("node").alias("b"), F.col("cells").alias("cb"), F.col("size").alias("sb")), "b")
-    star = star.filter(plausible("ca", "cb", F.col("sa") + F.col("sb"))).select("a", "b")
-    links = stored(_verify(star, texts, sets, plan), "links")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(cells.select(F.col("node").alias(side), F.col("cells").alias(f"_c{side}"), F.col("size").alias(f"_s{side}")), side)
+        return pairs.filter(plausible("_ca", "_cb", F.col("_sa") + F.col("_sb"))).select("a", "b")
+
+    counted = shared.groupBy(F.col("node").alias("a"), F.col("other").alias("b"), "band").agg(
+        F.count(F.lit(1)).alias("k"), F.max("spare").alias("_pa"), F.max("other_spare").alias("_pb")
+    )
+    for side in ("a", "b"):
+        counted = counted.join(lost.select(F.col("node").alias(side), "band", F.col("lost").alias(f"_l{side}")), [side, "band"], "left")
+    spare = F.least(F.col("_pa") - F.coalesce("_la", F.lit(0)), F.col("_pb") - F.coalesce("_lb", F.lit(0)))
+    # With one-deletion neighbourhoods a signature may stand for two units: no count there.
+    enough = F.col("k") > F.when(F.lit(not plan.deletions), spare).otherwise(0)
+    star = members.join(tight, ["node", "band"], "left_semi").filter((F.col("node") != F.col("other")) & _similar_sizes("size", "other_size"))
+    first = counted.filter(enough).select("a", "b").union(star.select(F.col("other").alias("a"), F.col("node").alias("b")))
+    links = stored(_verify(close(first.distinct()), texts, sets, plan), "links")
     labels = components(links)
 
-    lost = members.filter(F.col("n") > FEW).groupBy("node", "band").agg(F.sum("units").alias("lost"), F.max("spare").alias("spare"))
-    tight = lost.filter("lost > spare").select("node", "band", F.lit(True).alias("tight"))
-    known = members.join(labels, "node", "left").join(tight, ["node", "band"], "left").select(
-        "g", "node", "size", "n", F.coalesce("label", "node").alias("label"), F.coalesce("tight", F.lit(False)).alias("tight")
+    known = members.join(tight, ["node", "band"], "left").join(labels, "node", "left").select(
+        "g", "node", "size", "n", F.coalesce("label", "node").alias("label"), F.coalesce("tight", F.lit(False)).alias("asks")
     )
-    open_ = known.groupBy("g").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("tight").alias("_t"), F.max("n").alias("_n"))
-    open_ = open_.filter((F.col("_lo") != F.col("_hi")) & ((F.col("_n") <= FEW) | F.col("_t"))).select("g")
-    rows = known.join(open_, "g").withColumns(
-        {
-            "asks": (F.col("n") <= FEW) | F.col("tight"),
-            "pieces": F.ceil(F.col("n") / BLOCK).cast("int"),
-        }
-    ).withColumn("home", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    known = stored(known, "many")
+    open_ = known.groupBy("g").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("asks").alias("_asks"))
+    rows = known.join(open_.filter("_lo != _hi and _asks").select("g"), "g").withColumn("pieces", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("home", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     asked = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array("home"))
     rows = rows.withColumn("block", F.explode(asked)).withColumn("member", F.col("block") == F.col("home"))
     rows = rows.join(cells.select("node", "cells"), "node").withColumn("piece", F.xxhash64("g", "block"))
