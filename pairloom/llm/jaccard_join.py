@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pairloom.llm import scan
 from pairloom.llm.anchors import sorted_groups
@@ -37,7 +37,7 @@ from pairloom.llm.components import components
 from pairloom.llm.tables import partitions, stored
 
 SHINGLE = 5
-CELLS = 128
+CELLS = 512
 #: Up to so many sets a signature's members are all compared with each other.
 FEW = 16
 #: Members of a larger signature that are compared in one piece.
@@ -114,9 +114,9 @@ class Sets:
         return scan.mix(out + self.size.astype(np.uint64))
 
     def cells(self) -> np.ndarray:
-        cell = (self.token >> np.uint64(57)).astype(np.int64)
+        cell = (self.token >> np.uint64(55)).astype(np.int64)
         counts = np.bincount(self.row * CELLS + cell, minlength=self.n_rows * CELLS).reshape(-1, CELLS)
-        return np.minimum(counts, 65535).astype(np.uint16)
+        return np.minimum(counts, 255).astype(np.uint8)
 
     def signatures(self, node: np.ndarray, plan: Plan, next_band: bool) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Signatures of all rows under their own band, or under the next one for the rows
@@ -300,11 +300,11 @@ def _similar_sizes(a: str, b: str) -> Column:
 
 def _near(cells_a: np.ndarray, cells_b: np.ndarray, total: np.ndarray) -> np.ndarray:
     """Whether sets with these histograms and this summed size can be similar enough."""
-    return 7 * np.abs(cells_a.astype(np.int32) - cells_b.astype(np.int32)).sum(axis=-1) <= total
+    return 7 * np.abs(cells_a.astype(np.int16) - cells_b.astype(np.int16)).sum(axis=-1, dtype=np.int64) <= total
 
 
 def _cell_matrix(column: pa.Array) -> np.ndarray:
-    return scan.utf8(column)[0].view(np.uint16).reshape(-1, CELLS)
+    return scan.utf8(column)[0].reshape(-1, CELLS)
 
 
 def _plausible(a: pa.Array, b: pa.Array, total: pa.Array) -> pa.Array:
@@ -317,7 +317,7 @@ def _compare(rows: DataFrame) -> DataFrame:
 
     def pairs(held: list[list]) -> pa.RecordBatch:
         g, block, asks, member, node, size, label, cells = (np.concatenate(x) for x in zip(*held, strict=True))
-        cells = np.frombuffer(b"".join(cells.tolist()), np.uint16).reshape(-1, CELLS)
+        cells = np.frombuffer(b"".join(cells.tolist()), np.uint8).reshape(-1, CELLS)
         cut = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (block[1:] != block[:-1]), [True]]))
         out_a, out_b = [], []
         for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
@@ -419,7 +419,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stored(_collisions(_signature_rows(texts.filter("doc is not null"), plan, 4 * partitions(spark))), "collisions")
     members, shared = found.filter("g is not null"), found.filter("g is null")
     lost = stored(members.groupBy("node", "band").agg(F.sum("units").alias("lost"), F.max("spare").alias("spare")), "lost")
-    tight = lost.filter("lost > spare").select("node", "band").withColumn("tight", F.lit(True))
+    tight = lost.filter("lost > spare").select("node", "band", (F.col("lost") - F.col("spare")).alias("owed"))
 
     plausible = F.arrow_udf(_plausible, "boolean")
 
@@ -441,9 +441,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(_verify(close(first.distinct()), texts, sets, plan), "links")
     labels = components(links)
 
-    known = members.join(tight, ["node", "band"], "left").join(labels, "node", "left").select(
-        "g", "node", "size", "n", F.coalesce("label", "node").alias("label"), F.coalesce("tight", F.lit(False)).alias("asks")
-    )
+    # A linked pair shares more signatures than a set can spare, so a set may leave out as
+    # many of its crowded ones as it can spare: the most crowded.
+    crowd = Window.partitionBy("node", "band").orderBy("n", "g").rowsBetween(Window.unboundedPreceding, -1)
+    asked_before = F.coalesce(F.sum("units").over(crowd), F.lit(0))
+    known = members.join(tight, ["node", "band"], "left").withColumn("asks", F.coalesce(asked_before < F.col("owed"), F.lit(False)))
+    known = known.join(labels, "node", "left").select("g", "node", "size", "n", F.coalesce("label", "node").alias("label"), "asks")
     known = stored(known, "many")
     open_ = known.groupBy("g").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("asks").alias("_asks"))
     rows = known.join(open_.filter("_lo != _hi and _asks").select("g"), "g").withColumn("pieces", F.ceil(F.col("n") / BLOCK).cast("int"))
