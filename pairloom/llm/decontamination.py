@@ -116,7 +116,7 @@ def benchmark_hits(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """All columns of ``docs`` in a struct ``row``; ``n_words``; ``hits``, the numbers of
-    the words inside a benchmark window; ``items``, the ids of the items that occur.
+    the words inside a benchmark window; ``items``, the ids of the items that occur, both sorted.
 
     A window is ``size`` consecutive words of an item; an item with fewer words is one
     window, an item without words is none. Null text has no words. An item without an id
@@ -135,7 +135,9 @@ def benchmark_hits(
             if united is None
             else (united[0], F.array_union(united[1], one["hits"]), F.array_union(united[2], one["items"]))
         )
-    return out.select("row", united[0].alias("n_words"), united[1].alias("hits"), united[2].alias("items"))
+    # A union keeps the order of the blocks; hits and items are in order however many there are.
+    hits, items = (F.array_sort(c) for c in united[1:])
+    return out.select("row", united[0].alias("n_words"), hits.alias("hits"), items.alias("items"))
 
 
 def is_contaminated(share: int = 20) -> Column:
