@@ -10,6 +10,7 @@ instances of patterns that end with high confidence are reported as well.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ _HEX = re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{24,}")
 
 #: An instance that is not a fixed format has at least so many characters and digits.
 MIN_LENGTH, MIN_DIGITS = 6, 4
-#: A longer token is described by its shape, but its shape is cut here.
+#: A longer shape or context word is shown up to here, followed by a hash of the whole.
 MAX_SHAPE = 64
 
 
@@ -79,15 +80,22 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
+def _short(node: str) -> str:
+    """A name of bounded length that different nodes do not share."""
+    if len(node) <= MAX_SHAPE:
+        return node
+    return f"{node[:MAX_SHAPE]}#{hashlib.blake2b(node.encode(errors='surrogatepass'), digest_size=16).hexdigest()}"
+
+
 def _shape(token: str) -> str:
     if _HEX.fullmatch(token):
         return f"hex:{len(token)}"
-    return re.sub(r"([9aA])\1+", r"\1+", re.sub(r"[^\W\d_]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", token[:MAX_SHAPE]))))
+    return _short(re.sub(r"([9aA])\1+", r"\1+", re.sub(r"[^\W\d_]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", token)))))
 
 
 def _word(token: str) -> str:
     """A context word: lower case, digits alike."""
-    return re.sub(r"[0-9]+", "9", token[:MAX_SHAPE].lower())
+    return _short(re.sub(r"[0-9]+", "9", token.lower()))
 
 
 def instances(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from pairloom.llm.decontamination import benchmark_hits, remove_benchmark
+from pairloom.llm.pii import instances
 
 
 def _words(n, seed, alphabet=400):
@@ -26,3 +27,17 @@ def test_benchmark_spans_do_not_depend_on_blocks(spark):
         assert all(list(x.hits) == sorted(x.hits) and list(x["items"]) == sorted(passages) for x in found)
         cut[size] = {x.doc_id: x.text for x in remove_benchmark(docs, bench, remove="spans", block_bytes=size).collect()}
     assert cut[100] == cut[1 << 20] == {d: " ".join([f"out{d}  more"] * 6) for d in range(30)}
+
+
+def test_long_tokens_are_whole_nodes():
+    """Shapes and context words that differ only after their 64th character are different."""
+    stem = "a1" * 40
+    shapes, patterns = set(), set()
+    for tail in ("-", "_", "-_", "--"):
+        shapes.add(instances(f"key {stem}{tail}9 end", [])[0][2])
+        patterns.add(tuple(instances(f"{'https://x.y/' + 'b' * 60}{tail} 123456 end", [])[0][4]))
+    assert len(shapes) == len(patterns) == 4
+    assert all(len(x) < 100 for x in shapes)
+    # Digits are alike in a context word, wherever they stand.
+    assert instances(f"{'w' * 70}12 123456", [])[0][4] == instances(f"{'w' * 70}7 123456", [])[0][4]
+    assert instances("key 123456-ab end", [])[0][2] == "9+-a+"
