@@ -76,16 +76,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL) -> DataFrame:
-    drawn = sample_segmentations(table(spark, sf_dir, "documents").select("doc_id", "text"), model_file, k=SAMPLES)
-    one = drawn.select("row.doc_id", F.posexplode("samples").alias("sample", "s"))
+    """Every sample's piece ids, and what they decode to. A document with null text has one
+    row without a sample."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = sample_segmentations(docs, model_file, k=SAMPLES, decoded=True)
+    one = drawn.select("row.doc_id", F.posexplode_outer("samples").alias("sample", "s"))
     return one.select(
         "doc_id",
         "sample",
-        F.size("s.ids").cast("long").alias("n_pieces"),
-        F.xxhash64("s.ids").alias("ids_hash"),
+        F.when(F.col("s").isNotNull(), F.size("s.ids").cast("long")).alias("n_pieces"),
+        "s.ids",
         "s.log_prob",
         "s.gumbel",
         "s.inclusion",
+        "s.decoded_sha256",
+        "s.round_trip",
     )
 
 

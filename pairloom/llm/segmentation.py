@@ -15,10 +15,12 @@ and the round: the same row gives the same sample in any batch, task or run.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,6 +35,7 @@ BYTES_LEFT = -1
 NO_PIECE, SEVERAL = -1, -2
 
 SAMPLES = "array<struct<ids:array<int>,log_prob:double,gumbel:double,inclusion:double>>"
+DECODED_SAMPLES = SAMPLES.replace("inclusion:double", "inclusion:double,decoded_sha256:string,round_trip:boolean")
 _SPREAD = 0xC2B2AE3D27D4EB4F
 _BASE, _BACK = 0xA0761D6478BD642F, pow(0xA0761D6478BD642F, -1, 2**64)
 
@@ -336,8 +339,38 @@ def sample_block(texts: list[str | None], seeds: np.ndarray, k: int, vocabulary:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), rows)
 
 
+def _spelling(vocabulary: Vocabulary) -> dict[int, bytes]:
+    spelled = {i: p.replace(SPACE, " ").encode() for i, p in vocabulary.pieces.items()}
+    spelled.update({int(i): bytes([b]) for b, i in enumerate(vocabulary.bytes) if i >= 0})
+    return spelled
+
+
+def _spell(column: pa.Array, spelled: dict[int, bytes]) -> list[str | None]:
+    """The text of each list of ids; null for a null list."""
+    texts = []
+    flat = column.flatten().to_numpy(zero_copy_only=False)  # null lists have no part in it
+    ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    begin = 0
+    for known, end in zip(column.is_valid().to_pylist(), ends, strict=True):
+        text = b"".join([spelled[i] for i in flat[begin:end].tolist()]).decode(errors="replace") if known else None
+        texts.append(text[1:] if text else text)
+        begin = end
+    return texts
+
+
+def _with_decoded(samples: pa.ListArray, texts: list[str | None], spelled: dict[int, bytes]) -> pa.Array:
+    """The samples of a block, each with the SHA-256 of what its ids decode to and whether that is the text."""
+    rows = samples.values
+    decoded = _spell(rows.field("ids"), spelled)
+    owner = np.repeat(np.arange(len(texts)), np.diff(samples.offsets.to_numpy())).tolist()
+    sha = pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string())
+    same = pa.array([d == texts[t] for d, t in zip(decoded, owner, strict=True)], pa.bool_())
+    rows = pa.StructArray.from_arrays([*rows.flatten(), sha, same], names=[*(f.name for f in rows.type), "decoded_sha256", "round_trip"])
+    return pa.ListArray.from_arrays(samples.offsets, rows)
+
+
 def sample_segmentations(
-    docs: DataFrame, model_file: str, k: int = 3, key_col: str = "doc_id", text_col: str = "text", seed: int = 0
+    docs: DataFrame, model_file: str, k: int = 3, key_col: str = "doc_id", text_col: str = "text", seed: int = 0, decoded: bool = False
 ) -> DataFrame:
     """All columns of ``docs`` in a struct ``row`` (so any names may occur) and ``samples``:
     up to ``k`` distinct segmentations in the order drawn, each with its piece ids, its
@@ -348,18 +381,24 @@ def sample_segmentations(
     each. Null text gives none; empty text gives one without pieces. Rows with the same key
     and text give the same sample; a null key is a key. The vocabulary is sent to the
     executors, which need not have the model file.
+
+    With ``decoded`` every sample's ids are decoded where they are drawn, block by block, and
+    the sample also has ``decoded_sha256`` and ``round_trip``, whether that is the text.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
 
     def draw(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        spelled = _spelling(vocabulary.value) if decoded else {}
         for texts, keys in columns:
             seeds = keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
             _, offsets = scan.utf8(texts)
             for i, j in scan.blocks(offsets, BLOCK_CHARS):
-                yield sample_block(texts.slice(i, j - i).to_pylist(), scan.mix(seeds[i:j].copy()), k, vocabulary.value)
+                part = texts.slice(i, j - i).to_pylist()
+                samples = sample_block(part, scan.mix(seeds[i:j].copy()), k, vocabulary.value)
+                yield _with_decoded(samples, part, spelled) if decoded else samples
 
     row = F.col("row")
-    draw_udf = F.arrow_udf(draw, SAMPLES).asNondeterministic()
+    draw_udf = F.arrow_udf(draw, DECODED_SAMPLES if decoded else SAMPLES).asNondeterministic()
     key = F.xxhash64(F.lit(seed), row.getField(key_col))
     return docs.select(F.struct("*").alias("row")).withColumn("samples", draw_udf(row.getField(text_col), key))
 
@@ -369,14 +408,8 @@ def decode(docs: DataFrame, model_file: str, ids_col: str = "ids", out: str = "d
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
 
     def spell(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = vocabulary.value
-        spelled = {i: p.replace(SPACE, " ").encode() for i, p in v.pieces.items()}
-        spelled.update({int(i): bytes([b]) for b, i in enumerate(v.bytes) if i >= 0})
+        spelled = _spelling(vocabulary.value)
         for column in columns:
-            texts = []
-            for ids in column.to_pylist():
-                text = None if ids is None else b"".join(spelled[i] for i in ids).decode(errors="replace")
-                texts.append(text[1:] if text else text)
-            yield pa.array(texts, pa.string())
+            yield pa.array(_spell(column, spelled), pa.string())
 
     return docs.withColumn(out, F.arrow_udf(spell, "string").asNondeterministic()(F.col(ids_col)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 from pairloom.llm.decontamination import benchmark_hits, remove_benchmark
 from pairloom.llm.pii import instances
+from pairloom.llm.queries import SAMPLES, op8_sentencepiece
 
 
 def _words(n, seed, alphabet=400):
@@ -41,3 +43,17 @@ def test_long_tokens_are_whole_nodes():
     # Digits are alike in a context word, wherever they stand.
     assert instances(f"{'w' * 70}12 123456", [])[0][4] == instances(f"{'w' * 70}7 123456", [])[0][4]
     assert instances("key 123456-ab end", [])[0][2] == "9+-a+"
+
+
+def test_sentencepiece_gives_ids_and_decodes_them(spark, tmp_path):
+    texts = {1: None, 2: "", 3: _words(50, 1), 4: "\u00e4\u00f6\u00fc \u2603  \u6f22\u5b57\n\n", 5: " the\tend "}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op8_sentencepiece(spark, str(tmp_path)).collect()
+    by_doc = {d: [r for r in rows if r.doc_id == d] for d in texts}
+    assert {d: len(x) for d, x in by_doc.items()} == {1: 1, 2: 1, 3: SAMPLES, 4: SAMPLES, 5: SAMPLES}
+    gone = by_doc[1][0]
+    assert (gone["sample"], gone.n_pieces, gone.ids, gone.decoded_sha256, gone.round_trip) == (None,) * 5
+    for r in rows:
+        if r.doc_id != 1:
+            assert len(r.ids) == r.n_pieces and r.round_trip
+            assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
