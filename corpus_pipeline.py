@@ -19,8 +19,11 @@ from pairloom.llm.tables import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (null text, no letter) go."""
+    """Documents without a recognisable language (null text, no letter) go. Where no language
+    could be learned, every document with a letter stays."""
     prototypes = train_prototypes(docs.filter(~held_out()))
+    if not prototypes:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return identify_languages(docs, prototypes).filter(F.col("lang_pred") != NO_LANGUAGE).select("row.*")
 
 

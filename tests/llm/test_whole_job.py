@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import corpus_pipeline
 from pairloom.llm.decontamination import benchmark_hits, remove_benchmark
 from pairloom.llm.pii import instances
 from pairloom.llm.queries import SAMPLES, op8_sentencepiece
@@ -57,3 +58,11 @@ def test_sentencepiece_gives_ids_and_decodes_them(spark, tmp_path):
         if r.doc_id != 1:
             assert len(r.ids) == r.n_pieces and r.round_trip
             assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_language_stage_keeps_text_when_nothing_was_learned(spark):
+    texts = ["plain words", "\u6f22\u5b57", "", None, "12 -- ?"] * 6
+    docs = spark.createDataFrame([(d, t, None) for d, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == {d for d, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
+    assert kept.columns == docs.columns
