@@ -97,10 +97,32 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM d LEFT JOIN cut USING (doc_id)
 """
 
+# Fixed values of the default template: marks around a turn by role, and control strings
+# as first character and rest.
+OP11 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+f AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '<\\*/?s>|\[\\*/?(INST|SYS|ROLE)\]|\[\\*/TURN\]')) AS n_text,
+         length(role) + len(regexp_extract_all(role, '<\\*/?s>|\[\\*/?(INST|SYS|ROLE)\]|\[\\*/TURN\]')) AS n_role
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n_text + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 11 ELSE 20 + n_role END) AS BIGINT)
+         AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
 ORACLES = {
     "op3_line_dedup": OP3,
     "op4_decontamination": OP4,
     "op5_jaccard_join": OP5,
     "op6_exact_dedup": OP6,
     "op10_substring_dedup": OP10,
+    "op11_chat_formatting": OP11,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pairloom.llm.chat_format import format_conversations, read_back
 from pairloom.llm.decontamination import benchmark_hits, is_contaminated, items_digest
 from pairloom.llm.exact_dedup import duplicate_groups
 from pairloom.llm.jaccard_join import near_duplicates
@@ -14,7 +15,7 @@ from pairloom.llm.quality import score_documents, train
 from pairloom.llm.run_length_index import remove_repeated_bytes
 from pairloom.llm.segmentation import sample_segmentations
 from pairloom.llm.substring_dedup import remove_repeated_runs
-from pairloom.llm.tables import table
+from pairloom.llm.tables import stored, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -111,6 +112,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one more that consists of control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(
+        F.lit(-1).cast(rows.schema["conv_id"].dataType).alias("conv_id"),
+        F.col("id").cast(rows.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        said.alias("text"),
+    )
+    return read_back(stored(format_conversations(rows.unionByName(extra)), "chat"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -124,5 +138,6 @@ QUERIES = {
         op8_sentencepiece,
         op9_quality_classifier,
         op10_substring_dedup,
+        op11_chat_formatting,
     )
 }

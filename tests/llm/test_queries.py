@@ -12,7 +12,7 @@ from pairloom.llm.queries import QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_result(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = QUERIES[name](spark, sf)
     names = sorted(df.columns)
