@@ -118,6 +118,72 @@ SELECT conv_id, count(*) AS n_turns,
 FROM f GROUP BY conv_id
 """
 
+WORDS_12 = r"regexp_extract_all(" + LOWERED.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, {WORDS_12} AS w FROM documents),
+q AS (SELECT item_id, unnest({WORDS_12}) AS t FROM benchmark),
+lens AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM lens),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+idf AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY t, nn),
+x AS (
+  SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + ((75 * n * nn) // ll)))) AS x
+  FROM tf JOIN idf USING (t) JOIN lens USING (doc_id), total
+),
+s AS (SELECT item_id, doc_id, CAST(sum(c * x) AS BIGINT) AS score FROM (SELECT item_id, t, count(*) AS c FROM q GROUP BY ALL) JOIN x USING (t) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+# DuckDB has no crc32, so it is worked out bit by bit over the digits: each byte, then 8 steps.
+OP13 = """
+WITH RECURSIVE o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (SELECT DISTINCT c FROM o),
+crc(c, step, r) AS (
+  SELECT c, 0, CAST(4294967295 AS BIGINT) FROM ids
+  UNION ALL
+  SELECT c, step + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END
+  FROM (
+    SELECT c, step, CASE WHEN step % 8 = 0 THEN xor(r, CAST(ascii(substr(CAST(c AS VARCHAR), step // 8 + 1, 1)) AS BIGINT)) ELSE r END AS x
+    FROM crc WHERE step < 8 * length(CAST(c AS VARCHAR))
+  )
+),
+h AS (SELECT c, c - c % 5 AS b, xor(r, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc WHERE step = 8 * length(CAST(c AS VARCHAR))),
+rebuilt AS (
+  SELECT h.c, 0 AS part, pos, role, text FROM h JOIN o ON o.c = h.b AND pos < h
+  UNION ALL SELECT h.c, 1, pos, role, text FROM h JOIN o ON o.c = h.c AND pos >= h
+),
+seq AS (
+  SELECT c, list(sha256(role || chr(0) || text) ORDER BY part, pos) AS s, list(strlen(text) ORDER BY part, pos) AS sizes FROM rebuilt GROUP BY c
+),
+every AS (SELECT h.c, coalesce(s, []) AS s, coalesce(sizes, []) AS sizes FROM h LEFT JOIN seq USING (c)),
+m AS (
+  SELECT c, d, list_slice(s, 1, d) AS p, len(s) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM every)
+),
+nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ids
+  FROM m GROUP BY p, d
+),
+kids AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+named AS (SELECT c, m.d, conv_id, n_convs, nodes.size, kids.n IS NULL AS leaf FROM m JOIN nodes USING (p) LEFT JOIN kids USING (p)),
+under AS (
+  SELECT a.d, a.conv_id, b.d AS e, b.conv_id AS k, any_value((b.n_convs - 1) * b.size) AS saved, any_value(b.leaf) AS leaf
+  FROM named a JOIN named b ON a.c = b.c AND b.d >= a.d GROUP BY ALL
+),
+totals AS (SELECT d, conv_id, count_if(leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM under GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, saved_tokens, sha256(n.ids) AS ends_sha256
+FROM nodes n JOIN totals t ON t.d = n.d AND t.conv_id = n.conv_id LEFT JOIN kids ON kids.p = n.p
+LEFT JOIN nodes up ON n.d > 0 AND up.p = list_slice(n.p, 1, n.d - 1)
+"""
+
 ORACLES = {
     "op3_line_dedup": OP3,
     "op4_decontamination": OP4,
@@ -125,4 +191,6 @@ ORACLES = {
     "op6_exact_dedup": OP6,
     "op10_substring_dedup": OP10,
     "op11_chat_formatting": OP11,
+    "op12_lexical_search": OP12,
+    "op13_prefix_trie": OP13,
 }

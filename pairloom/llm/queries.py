@@ -9,13 +9,16 @@ from pairloom.llm.decontamination import benchmark_hits, is_contaminated, items_
 from pairloom.llm.exact_dedup import duplicate_groups
 from pairloom.llm.jaccard_join import near_duplicates
 from pairloom.llm.language_id import held_out, identify_languages, train_prototypes
+from pairloom.llm.lexical_search import ranked_search
 from pairloom.llm.line_dedup import dedup_lines
 from pairloom.llm.pii import KINDS, count_of, find_personal_data, span_text
+from pairloom.llm.prefix_trie import prefix_trie, turn_digest
 from pairloom.llm.quality import score_documents, train
 from pairloom.llm.run_length_index import remove_repeated_bytes
 from pairloom.llm.segmentation import sample_segmentations
 from pairloom.llm.substring_dedup import remove_repeated_runs
 from pairloom.llm.tables import stored, table
+from pairloom.operators.indexing import with_group_index
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -125,6 +128,48 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(stored(format_conversations(rows.unionByName(extra)), "chat"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+HEAD, SPAN = 9, 64
+
+
+def rebuilt_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``conv_id, pos, digest, n_bytes, last`` of the turns, and ``conv_id, length`` of all
+    conversations, after each took its first h turns from conversation c - c % 5, with
+    h = crc32(c) % 9.
+
+    Turns are ordered by ``turn`` (null first), equal ones by the digest of role and text.
+    Rows without ``conv_id`` belong to no conversation.
+    """
+    own = rows.filter(F.col("conv_id").isNotNull()).select(
+        F.col("conv_id").cast("bigint"), "turn", turn_digest(F.col("role"), F.col("text")).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")
+    )
+    turns = stored(with_group_index(own, ["conv_id"], "turn", "digest", name="pos").drop("turn"), "turns")
+    convs = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEAD
+    convs = convs.withColumns({"h": h, "base": F.col("conv_id") - F.col("conv_id") % 5})
+    heads = turns.filter((F.col("pos") < HEAD - 1) & (F.col("conv_id") % 5 == 0)).withColumnRenamed("conv_id", "base")
+    n_heads = heads.groupBy("base").agg(F.count(F.lit(1)).alias("n_base"))
+    taken = F.least("h", F.coalesce("n_base", F.lit(0)))
+    convs = convs.join(n_heads, "base", "left").withColumn("taken", taken)
+    convs = stored(convs.withColumn("length", F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))), "convs")
+    last = (F.col("pos") == F.col("length") - 1).alias("last")
+    columns = ["conv_id", "pos", "digest", "n_bytes", last]
+    first = convs.join(heads, "base").filter(F.col("pos") < F.col("taken")).select(*columns)
+    # A long conversation meets its row in stretches, so no key has more than SPAN turns.
+    stretch = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("n") / SPAN))).alias("stretch")
+    keyed = turns.withColumn("stretch", F.floor(F.col("pos") / SPAN))
+    rest = keyed.join(convs.select("conv_id", "h", "taken", "length", stretch), ["conv_id", "stretch"]).filter(F.col("pos") >= F.col("h"))
+    rest = rest.withColumn("pos", F.col("pos") - F.col("h") + F.col("taken")).select(*columns)
+    return stored(first.unionByName(rest), "rebuilt"), convs.select("conv_id", "length")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt_conversations(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -139,5 +184,7 @@ QUERIES = {
         op9_quality_classifier,
         op10_substring_dedup,
         op11_chat_formatting,
+        op12_lexical_search,
+        op13_prefix_trie,
     )
 }
