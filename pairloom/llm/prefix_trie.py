@@ -177,7 +177,7 @@ def _ancestors(cut: DataFrame, paths: list[DataFrame], level: int, sums: list[st
     first where the trie is deeper than a block, then inside the blocks."""
     for at in range(level, -1, -1):
         steps = F.posexplode(F.slice("path", 2, F.size("path") - 1)).alias("_i", "_to")
-        held = cut.join(paths[at].select("name", "path", "depth"), "name").select("path", "depth", *sums, steps)
+        held = cut.select("name", *sums).join(paths[at].select("name", "path", "depth"), "name").select("path", "depth", *sums, steps)
         # Blocks end every BLOCK ** at turns at this level.
         away = (F.size("path") - 2 - F.col("_i")) * F.lit(BLOCK**at)
         held = held.select(F.col("_to").alias("name"), F.get("path", F.col("_i")).alias("parent"), (F.col("depth") - away).alias("depth"), *sums)
