@@ -24,6 +24,19 @@ def require_unique(df: DataFrame, *key: str) -> None:
         raise ValueError(f"the key {', '.join(key)} is not unique, or missing in some rows")
 
 
+def unique_key(df: DataFrame, key: str) -> DataFrame:
+    """``df``, with an error instead of its rows where the key repeats or is missing.
+
+    Lazy: the keys are counted over the exchange that a join on the key needs anyway, so
+    the check moves no row once more.
+    """
+    kind = df.schema[key].dataType
+    known = F.coalesce(F.col(key), F.raise_error(F.lit(f"the key {key} is missing in some rows, so it is not unique")).cast(kind))
+    counted = df.withColumn(key, known).withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    once = F.when(F.col("_times") > 1, F.raise_error(F.lit(f"the key {key} is not unique")).cast("boolean")).otherwise(True)
+    return counted.filter(once).drop("_times")
+
+
 def _placed(df: DataFrame, order_by: Sequence[ColumnOrName], name: str, hold: bool) -> DataFrame:
     """``df`` sorted and written once, with the number of each row and of its partition.
 

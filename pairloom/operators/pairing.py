@@ -7,16 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairloom.config import ScoreConfig
 from pairloom.functions import scoring as s
 from pairloom.functions.text import or_empty
-from pairloom.operators.indexing import require_unique
+from pairloom.operators.indexing import unique_key
 
 
 def pair(sft: DataFrame, pref: DataFrame, key: str = "sft_index") -> DataFrame:
-    """``pair_id`` and both rows as structs, joined on the key, which must be unique."""
-    require_unique(sft, key)
-    require_unique(pref, key)
+    """``pair_id`` and both rows as structs, joined on the key. A repeated or missing key is an
+    error when the rows are read."""
     left = sft.select(F.col(key).alias("pair_id"), F.struct("*").alias("sft"))
     right = pref.select(F.col(key).alias("pair_id"), F.struct("*").alias("preference"))
-    return left.join(right, "pair_id")
+    return unique_key(left, "pair_id").join(unique_key(right, "pair_id"), "pair_id")
 
 
 def unpaired(sft: DataFrame, pref: DataFrame, key: str = "sft_index") -> DataFrame:
@@ -95,11 +94,10 @@ def score_pairs(
     """``pair_id``, gates and scores per pair.
 
     The texts are reduced to features before the join, so the shuffle carries some
-    hundred bytes per pair instead of both texts. The key must be unique on both sides.
+    hundred bytes per pair instead of both texts. A repeated or missing key on either side
+    is an error when the rows are read.
     """
-    require_unique(sft, key)
-    require_unique(pref, key)
     left = with_sft_features(sft, cfg).select(F.col(key).alias("pair_id"), *SFT_FEATURES, *keep)
     right = with_preference_features(pref, cfg).select(F.col(key).alias("pair_id"), *PREFERENCE_FEATURES)
-    scored = with_scores(left.join(right, "pair_id"), cfg)
+    scored = with_scores(unique_key(left, "pair_id").join(unique_key(right, "pair_id"), "pair_id"), cfg)
     return scored.select("pair_id", "sft_ok", "preference_ok", *SCORES, *keep)

@@ -52,7 +52,10 @@ def template_rows(
     ``{problem}`` is dropped, and ``{problem_type}`` stays unfilled in an instruction.
     Every other id gives exactly one row, whatever numbers the topic table comes with.
     """
-    topics, n_topics = numbered_topics(knowledge_table(ids.sparkSession) if knowledge is None else knowledge)
+    if knowledge is None:  # numbered as it is made
+        topics, n_topics = knowledge_table(ids.sparkSession), len(fixed.KNOWLEDGE)
+    else:
+        topics, n_topics = numbered_topics(knowledge)
     if not n_topics:
         raise ValueError("no topics")
 

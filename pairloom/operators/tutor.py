@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom import fixed, wording
 from pairloom.functions.text import or_empty, render
 from pairloom.functions.tutoring import assessment_outcome, level_to_difficulty
-from pairloom.operators.indexing import with_group_index
 
 # Entries per profile part: the bound on what one group collects.
 BLOCK = 100_000
+# Consecutive event ids that are ordered in one task.
+STRETCH = 1 << 20
 
 
 def request_prompts(
@@ -53,18 +54,32 @@ def request_prompts(
     )
 
 
-def student_profiles(events: DataFrame, block: int = BLOCK) -> DataFrame:
+def _numbered(entries: DataFrame, stretch: int) -> DataFrame:
+    """Add each entry's number in its student's history.
+
+    A history is cut into stretches of ``stretch`` consecutive event ids, whose rows are
+    ordered in one task; the entries of earlier stretches are counted.
+    """
+    entries = entries.withColumn("_stretch", F.floor(F.col("event_id") / stretch))
+    place = F.row_number().over(Window.partitionBy("student_id", "_stretch").orderBy("event_id")) - 1
+    counts = entries.groupBy("student_id", "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("student_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    joined = entries.withColumn("_place", place).join(before, ["student_id", "_stretch"])
+    return joined.withColumn("_at", F.col("_before") + F.col("_place"))
+
+
+def student_profiles(events: DataFrame, block: int = BLOCK, stretch: int = STRETCH) -> DataFrame:
     """Mastered and weak topics per student in order of arrival, duplicates kept.
 
     ``events``: ``student_id, event_id, topic, assessment``, with ``event_id`` unique and
     rising on arrival. Every student's graded entries are numbered, and ``part`` k holds
     the entries from ``k * block`` on; a student without any has an empty part 0. The
-    numbers come from a sort of all entries together, so no task and no row ever holds a
-    whole long history, and every student goes the same way.
+    numbers come from stretches of the event ids, so no task and no row ever holds a whole
+    long history, and every student goes the same way.
     """
     graded = events.select("student_id", "event_id", "topic", assessment_outcome("assessment").alias("outcome"))
-    entries = with_group_index(graded.filter(F.col("outcome").isNotNull()), ["student_id"], "event_id", name="_at")
-    parts = entries.withColumn("part", F.floor(F.col("_at") / block))
+    parts = _numbered(graded.filter(F.col("outcome").isNotNull()), stretch).withColumn("part", F.floor(F.col("_at") / block))
     lists = parts.groupBy("student_id", "part").agg(*_topic_lists())
     current = graded.groupBy("student_id").agg(F.max_by("topic", "event_id").alias("current_topic"))
     none = F.array().cast("array<string>")

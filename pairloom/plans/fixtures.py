@@ -155,6 +155,59 @@ def assessments(events: DataFrame) -> DataFrame:
     )
 
 
+# Runs in which the events, and the two sides of the pairs, arrive; how late some of them are.
+DELIVERIES = 4
+LATE = "2 days"
+
+
+def timed_assessments(events: DataFrame) -> DataFrame:
+    """Assessments with their time and the run in which they arrive: a quarter of the time
+    span each, and what purchases of a span's last day say comes one run later. A tick
+    without student follows in a last run."""
+    at = F.col("ts").cast("timestamp")
+    rows = assessments(events).join(events.select("event_id", at.alias("ts")), "event_id")
+    first, last = events.agg(F.min(F.unix_micros(at)), F.max(F.unix_micros(at))).first()
+    first, last = first or 0, last or 0
+    span = F.lit((last - first) // DELIVERIES + 1)
+    since = F.unix_micros("ts") - first
+    day = 86_400_000_000
+    late = (F.col("topic") == "purchase") & (since % span > span - day)
+    run = F.least(F.floor(since / span) + late.cast("int"), F.lit(DELIVERIES - 1)).cast("int")
+    tick = events.sparkSession.range(1).select(
+        F.lit(None).cast("bigint").alias("student_id"),
+        F.lit(-1).cast("bigint").alias("event_id"),
+        F.timestamp_micros(F.lit(last + 400 * day)).alias("ts"),
+        F.lit("").alias("topic"),
+        F.lit("").alias("assessment"),
+        F.lit(DELIVERIES).alias("delivery"),
+    )
+    return rows.withColumn("delivery", run).select(tick.columns).unionByName(tick)
+
+
+def timed_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
+    """Both sides of the pairs with a time and the run in which they arrive, and how late a
+    side may be. A preference side lies half an hour after its instruction; the French ones
+    arrive a run later, and toxic documents have none. Both end with a tick: a side with a
+    negative key far in the future."""
+    docs = documents(spark, sf_dir)
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    per_run = top // (DELIVERIES - 2) + 1
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("sft_index"))
+    run = F.floor(F.col("sft_index") / per_run).cast("int")
+    left = as_sft(docs).withColumns({"ts": at, "delivery": run})
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("sft_index"))
+    french = docs.filter("lang = 'fr'").select(F.col("doc_id").alias("sft_index"), F.lit(1).alias("_later"))
+    right = as_preference(docs).join(toxic, "sft_index", "left_anti").join(french, "sft_index", "left")
+    right = right.withColumns({"ts": at + F.expr("INTERVAL 30 minutes"), "delivery": run + F.coalesce("_later", F.lit(0))}).drop("_later")
+    far = F.timestamp_seconds(F.lit(1_700_000_000 + 10 * top + 10**8))
+
+    def tick(df: DataFrame, key: int) -> DataFrame:
+        given = {"sft_index": F.lit(key), "ts": far, "delivery": F.lit(DELIVERIES - 1)}
+        return spark.range(1).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+
+    return left.unionByName(tick(left, -1)), right.unionByName(tick(right, -2)), f"{per_run + 3600} seconds"
+
+
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A judge's reply per labelled document: plain, fenced, broken, one model missing,
     one model as a string."""
@@ -187,6 +240,14 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", text.alias("verdict"))
 
 
+def copied_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector, and under the next negative number a copy without its largest
+    coordinate, which is more or less near to it."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    cut = F.transform("embedding", lambda x: F.when(x == F.array_max("embedding"), F.lit(0.0).cast("float")).otherwise(x))
+    return rows.unionByName(rows.select((-1 - F.col("vec_id")).alias("vec_id"), cut.alias("embedding")))
+
+
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word lengths of every turn as labels, every fourth ignored; predictions are off by
     one at every seventh word."""

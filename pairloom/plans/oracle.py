@@ -437,6 +437,19 @@ PROGRESS = f"""SELECT student_id, arg_max(topic, event_id) AS current_topic, cou
 VOCABULARY = (fixed.TECHNICAL_TERMS, fixed.QUALITY_INDICATORS)
 SCORE_PARTS = with_(SCORED, f"SELECT pair_id, sft_ok, preference_ok, {SCORE_COLUMNS} FROM scored")
 
+SAME_STRATUM = "{0}.topic IS NOT DISTINCT FROM {1}.topic AND {0}.difficulty IS NOT DISTINCT FROM {1}.difficulty"
+
+
+def quotas(n: str) -> str:
+    """``n`` divided over the strata of ``sizes`` by largest remainder."""
+    return f"""
+whole AS (SELECT total, CAST({n} AS BIGINT) AS n FROM (SELECT CAST(sum(size) AS BIGINT) AS total FROM sizes)),
+quotas AS (
+  SELECT topic, difficulty, size, (n * size) // total + CASE WHEN place <= n - sum((n * size) // total) OVER () THEN 1 ELSE 0 END AS quota
+  FROM (SELECT *, row_number() OVER (ORDER BY (n * size) % total DESC, size DESC, topic NULLS FIRST, difficulty NULLS FIRST) AS place
+        FROM sizes, whole))"""
+
+
 ORACLES: dict[str, str] = {
     "curated_topk": with_(SCORED, f"SELECT {FLAT} FROM topk"),
     "curated_topk_gated": with_(
@@ -456,6 +469,14 @@ ORACLES: dict[str, str] = {
     "ranked_pairs": with_(
         SCORED, "SELECT pair_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, pair_id) AS rank FROM scored"
     ),
+    "quota_topk": with_(
+        SCORED
+        + f""",
+sizes AS (SELECT topic, difficulty, count(*) AS size FROM scored GROUP BY ALL),
+{quotas(f"least({TOP}, total)")},
+placed AS (SELECT *, row_number() OVER (PARTITION BY topic, difficulty ORDER BY score DESC, pair_id) AS place FROM scored)""",
+        f"""SELECT {FLAT} FROM (SELECT placed.* FROM placed JOIN quotas q ON {SAME_STRATUM.format("placed", "q")} WHERE place <= quota)""",
+    ),
     "score_parts": SCORE_PARTS,
     "score_parts_default": SCORE_PARTS.replace(COVERED, covered(fixed.CATEGORIES.values())),
     "curated_topk_sorted": with_(SCORED, "SELECT pair_id, round(score, 6) AS score FROM topk"),
@@ -465,6 +486,12 @@ ORACLES: dict[str, str] = {
         WHERE rank <= {TOP_PER_TOPIC}""",
     ),
     "stream_scores": SCORE_PARTS,
+    "stream_joined_scores": with_(
+        SCORED + ", toxic AS (SELECT doc_id FROM labels WHERE toxic = 1)",
+        "SELECT pair_id, pair_id NOT IN (FROM toxic) AS matched, sft_ok, CASE WHEN pair_id NOT IN (FROM toxic) THEN preference_ok END AS preference_ok, "
+        + ", ".join(f"CASE WHEN pair_id NOT IN (FROM toxic) THEN round({c}, 6) END AS {c}" for c in ("quality", "relevance", "diversity", "difficulty_score", "score"))
+        + " FROM scored",
+    ),
     "gate_flags": with_(SCORED, "SELECT pair_id AS sft_index, sft_ok, preference_ok FROM scored"),
     "unzipped_sides": with_(
         SCORED,
@@ -477,7 +504,11 @@ ORACLES: dict[str, str] = {
         (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS pos FROM documents)
         JOIN (SELECT doc_id AS label_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS pos FROM labels) USING (pos)""",
     "first_rows": f"SELECT * FROM labels ORDER BY doc_id LIMIT {TOP_PER_TOPIC}",
-    "resume_hwm": "SELECT doc_id AS sft_index, lang FROM documents WHERE doc_id > (SELECT max(doc_id) FROM labels)",
+    "resume_hwm": """WITH mark AS (
+          SELECT max(doc_id) AS top FROM labels WHERE quality = 1 AND doc_id <= (SELECT floor(avg(doc_id)) FROM labels)),
+        pending AS (SELECT doc_id AS sft_index, lang FROM documents, mark WHERE doc_id > top)
+        SELECT *, 'all' AS mode FROM pending
+        UNION ALL SELECT *, 'below' FROM pending WHERE sft_index < (SELECT floor(max(doc_id) * 0.9) FROM documents)""",
     "resume_by_key": "SELECT doc_id AS sft_index, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "resume_fresh_ids": """SELECT unnest(range((SELECT max(doc_id) + 1 FROM labels), (SELECT max(doc_id) + 1 FROM labels)
         + greatest((SELECT count(*) FROM documents) - (SELECT count(*) FROM labels), 0))) AS sft_index""",
@@ -501,6 +532,18 @@ ORACLES: dict[str, str] = {
     "topic_distribution": distribution("SELECT sft_index, coalesce(topic, 'Unknown') AS x FROM fx_sft", "x"),
     "difficulty_distribution": distribution("SELECT sft_index, coalesce(difficulty, 'medium') AS x FROM fx_sft", "x"),
     "strategy_distribution": distribution(f"SELECT sft_index, {STRATEGY} AS x FROM fx_sft", "x"),
+    "frequent_words": f"""WITH w AS (SELECT unnest({word_list('lower(text)')}) AS value FROM documents),
+        c AS (SELECT value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, value) AS place FROM w GROUP BY value)
+        SELECT value, n, coalesce((SELECT n FROM c WHERE place = 11), 0) AS next_n FROM c WHERE place <= 10""",
+    "json_array_any_layout": with_(FX, "SELECT sft_index, instruction, input, output FROM fx_sft"),
+    "finished_runs": """SELECT doc_id AS sft_index, lang, source, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'first' ELSE 'second' END AS run_id FROM documents""",
+    "near_vectors": """WITH RECURSIVE every AS (
+          SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+          UNION ALL SELECT -1 - vec_id, list_transform(embedding, lambda x: CASE WHEN x = list_max(embedding) THEN 0 ELSE x END)::DOUBLE[] FROM embeddings),
+        link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM every a, every b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach(vec_id, r) AS (SELECT vec_id, vec_id FROM every UNION SELECT reach.vec_id, y FROM reach JOIN link ON r = x),
+        copies AS (SELECT e, count(*) AS n_copies FROM every GROUP BY e)
+        SELECT vec_id, min(r) AS group_id, any_value(n_copies) AS n_copies FROM reach JOIN every USING (vec_id) JOIN copies USING (e) GROUP BY vec_id""",
     "criteria_frequency": distribution(f"SELECT unnest({CRITERIA}) AS x FROM fx_sft", "x", key=None),
     "diff_stats": with_(
         FX,
@@ -616,6 +659,27 @@ ORACLES: dict[str, str] = {
     "incomplete_rows": with_(FX, "SELECT sft_index, instruction = '' OR output = '' AS incomplete FROM fx_sft"),
     "split_exact": f"""SELECT doc_id, lang, CASE WHEN row_number() OVER (ORDER BY md5('{SEED}:' || doc_id))
         <= floor((SELECT count(*) FROM documents) * {fixed.TRAIN_RATIO}) THEN 'train' ELSE 'eval' END AS split FROM documents""",
+    "split_grouped": "WITH RECURSIVE "
+    + f"""{FX.strip()},
+keyed AS (SELECT sft_index, topic, difficulty, ('0x' || substring(md5('{SEED}' || chr(31) || '=' || {PROMPT}), 1, 15))::BIGINT AS g FROM fx_sft),
+grouped AS (
+  SELECT g, count(*) AS n, first(topic ORDER BY topic NULLS FIRST, difficulty NULLS FIRST) AS topic,
+         first(difficulty ORDER BY topic NULLS FIRST, difficulty NULLS FIRST) AS difficulty FROM keyed GROUP BY g),
+sizes AS (SELECT topic, difficulty, sum(n)::BIGINT AS size FROM grouped GROUP BY ALL),
+{quotas(f"floor(total * {num(fixed.TRAIN_RATIO)})")},
+run AS (SELECT g, n, sum(n) OVER (PARTITION BY topic, difficulty ORDER BY g) AS upto, topic, difficulty FROM grouped),
+fit AS (
+  SELECT q.topic, q.difficulty, quota, coalesce(max(upto) FILTER (upto <= quota), 0) AS taken, max(g) FILTER (upto <= quota) AS cut,
+         min(g) FILTER (upto > quota) AS next, arg_min(n, g) FILTER (upto > quota) AS weight
+  FROM run JOIN quotas q ON {SAME_STRATUM.format("run", "q")} GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (ORDER BY taken - quota, topic NULLS FIRST, difficulty NULLS FIRST) AS k FROM fit),
+given(k, short, topic, difficulty, cut) AS (
+  SELECT 0::BIGINT, (SELECT sum(quota - taken) FROM fit), NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT
+  UNION ALL
+  SELECT p.k, CASE WHEN weight <= short THEN short - weight ELSE short END, p.topic, p.difficulty, CASE WHEN weight <= short THEN next ELSE p.cut END
+  FROM given JOIN placed p ON p.k = given.k + 1),
+train AS (SELECT r.g FROM run r JOIN given ON given.k > 0 AND {SAME_STRATUM.format("r", "given")} WHERE r.g <= given.cut)
+SELECT sft_index, CASE WHEN g IN (SELECT g FROM train) THEN 'train' ELSE 'eval' END AS split FROM keyed""",
     "split_bucket": f"""SELECT doc_id, lang, CASE WHEN ('0x' || substring(md5('{SEED}:' || doc_id), 1, 8))::BIGINT::DOUBLE / 4294967296::DOUBLE
         < {num(fixed.TRAIN_RATIO)} THEN 'train' ELSE 'eval' END AS split FROM documents""",
     "token_budget": with_(
@@ -644,6 +708,19 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (WHERE second_total < first_total) AS losses,
         count(*) FILTER (WHERE first_total IS NULL OR second_total IS NULL) AS not_comparable FROM judged""",
     ),
+    "judge_intervals": with_(
+        f"""{VERDICTS},
+both_totals AS (SELECT id, second_total - first_total AS gap, CASE WHEN second_total > first_total THEN 1.0 WHEN second_total = first_total THEN 0.5 ELSE 0.0 END::DOUBLE AS win
+  FROM judged WHERE first_total IS NOT NULL AND second_total IS NOT NULL),
+drawn AS (SELECT s, gap, win, ('0x' || substring(md5('{SEED}:' || id || ':' || (s // 4)), CAST((s % 4) * 8 + 1 AS BIGINT), 8))::BIGINT AS u FROM both_totals, range(200) r(s)),
+steps AS (SELECT k, round(sum(exp(-1) / factorial(k::INT)) OVER (ORDER BY k) * 4294967296) AS step FROM range(14) r(k)),
+weighted AS (SELECT s, gap, win, u, (SELECT count(*) FROM steps WHERE step < 4294967296 AND step <= u) AS w FROM drawn),
+samples AS (SELECT s, sum(w * gap) / sum(w) AS mean_difference, sum(w * win) / sum(w) AS win_rate FROM weighted WHERE w > 0 GROUP BY s),
+whole AS (SELECT count(*) AS n, avg(gap) AS gap, avg(win) AS win FROM both_totals)""",
+        """SELECT 'mean_difference' AS measure, any_value(n) AS n, round(any_value(gap), 6) AS estimate,
+        round(quantile_cont(mean_difference, 0.025), 6) AS lower, round(quantile_cont(mean_difference, 0.975), 6) AS upper FROM samples, whole
+        UNION ALL SELECT 'win_rate', any_value(n), round(any_value(win), 6), round(quantile_cont(win_rate, 0.025), 6), round(quantile_cont(win_rate, 0.975), 6) FROM samples, whole""",
+    ),
     "judge_prompts": with_(
         FX, f"SELECT sft_index, {filled(wording.JUDGE, prompt='prompt', first='chosen', second='rejected')} AS judge_prompt FROM fx_pref"
     ),
@@ -681,6 +758,7 @@ ORACLES: dict[str, str] = {
         NULL::VARCHAR AS error FROM r2""",
     ),
     "student_profiles": PROFILES,
+    "stream_lists": PROFILES,
     "student_profiles_parts": PROFILE_PARTS,
     "stream_profiles": PROFILES,
     "student_progress": PROGRESS,

@@ -10,14 +10,27 @@ from pairloom import fixed
 from pairloom.config import ScoreConfig
 from pairloom.functions import prompts, tutoring
 from pairloom.functions.scoring import answer_score, preference_gate, quality_difference, sft_gate, spaced
-from pairloom.functions.text import not_blank
-from pairloom.operators import judging, pairing, preferences, profiling, ranking, templates, training, tutor
+from pairloom.functions.text import not_blank, words
+from pairloom.operators import (
+    diversity,
+    frequent,
+    hook,
+    judging,
+    pairing,
+    preferences,
+    profiling,
+    ranking,
+    templates,
+    training,
+    tutor,
+    vectors,
+)
 from pairloom.operators.indexing import with_dense_index
 from pairloom.operators.responder import respond
 from pairloom.plans import curation, fixtures as fx
 from pairloom.session import fresh_dir
-from pairloom.sources import files, resume, schemas
-from pairloom.streaming import profiles, scores
+from pairloom.sources import files, resume, runs, schemas
+from pairloom.streaming import lists, profiles, scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +38,10 @@ QUERIES: dict[str, Query] = {}
 TOP = 300
 TOP_PER_TOPIC = 20
 PART = 3
+WORDS = 10
+COUNTERS = 64
+NEAR = 0.9
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 ARRAY = "sft_index bigint, instruction string, input string, output string"
 SEED = fixed.SPLIT_SEED
 
@@ -120,6 +137,22 @@ def curated_per_topic(spark, sf):
     return _flat(kept)
 
 
+@query
+def quota_topk(spark, sf):
+    """The best pairs with the mix of topics and difficulties that all pairs have."""
+    kept = curation.curate_pairs(fx.sft(spark, sf), fx.preferences(spark, sf), TOP, fx.SCORING, quota=("topic", "difficulty"))
+    return _flat(kept)
+
+
+@query
+def diverse_topk(spark, sf):
+    """Pairs chosen for the words that they add and for their score."""
+    scored = pairing.score_pairs(fx.sft(spark, sf), fx.preferences(spark, sf), fx.SCORING)
+    texts = fx.sft(spark, sf).select("sft_index", diversity.word_features(spaced("instruction", "input", "output")).alias("features"))
+    rows = texts.join(scored.select(F.col("pair_id").alias("sft_index"), "score"), "sft_index")
+    return rounded(diversity.diverse_top_n(rows, TOP, F.col("features"), score="score", score_weight=WORDS), "gain")
+
+
 @query
 def score_parts_default(spark, sf):
     """Scores with the published vocabularies."""
@@ -163,9 +196,15 @@ def first_rows(spark, sf):
 
 @query
 def resume_hwm(spark, sf):
-    """Documents above the highest labelled one."""
+    """Documents above the highest one that a run reviewed which stopped halfway, all of
+    them and those below a number."""
     src = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("sft_index"), "lang")
-    return resume.pending_by_hwm(src, fx.reviewed(spark, sf))
+    labels = fx.table(spark, sf, "labels")
+    middle = labels.agg(F.floor(F.avg("doc_id"))).scalar()
+    done = labels.filter((F.col("quality") == 1) & (F.col("doc_id") <= middle)).select(F.col("doc_id").alias("sft_index"))
+    n = src.agg(F.floor(F.max("sft_index") * 0.9)).first()[0]
+    every = resume.pending_by_hwm(src, done).withColumn("mode", F.lit("all"))
+    return every.unionByName(resume.pending_by_hwm(src, done, n=n).withColumn("mode", F.lit("below")))
 
 
 @query
@@ -222,6 +261,18 @@ def json_array_round_trip(spark, sf):
     return files.read_json_array(spark, f"{path}/*/*.txt", ARRAY, indent=2)
 
 
+@query
+def json_array_any_layout(spark, sf):
+    """The same without line breaks between and inside the elements; read in splits too."""
+    path = fresh_dir(spark, "array")
+    rows = fx.sft(spark, sf).select("sft_index", "instruction", "input", "output")
+    bodies = rows.select((F.col("sft_index") / 500).cast("int").alias("block"), "sft_index", F.to_json(F.struct("*")).alias("j"))
+    one = bodies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("sft_index", "j"))).alias("all"))
+    array = F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["j"]), ","), F.lit("]"))
+    one.select("block", array.alias("value")).write.partitionBy("block").text(path)
+    return files.read_json_array(spark, f"{path}/*/*.txt", ARRAY)
+
+
 @query
 def continued_write(spark, sf):
     """A dataset written whole, then continued with the rows that were missing."""
@@ -233,6 +284,21 @@ def continued_write(spark, sf):
     return spark.read.parquet(path)
 
 
+@query
+def finished_runs(spark, sf):
+    """Two runs, the first of them repeated after it stopped halfway; every row counts once."""
+    path = fresh_dir(spark, "runs")
+    src = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("sft_index"), "lang", "source")
+    first = src.join(fx.reviewed(spark, sf), "sft_index", "left_semi")
+    # What a run leaves behind that was lost before its end.
+    first.filter("lang = 'en'").withColumn("run_id", F.lit("first")).write.partitionBy("run_id").parquet(f"{path}/rows")
+    schema = "sft_index bigint, lang string, source string"
+    seen = runs.read_runs(spark, path, schema)
+    runs.write_run(resume.pending_by_key(first, seen), path, "first")
+    runs.write_run(resume.pending_by_key(src, runs.read_runs(spark, path, schema)), path, "second")
+    return runs.read_runs(spark, path, schema)
+
+
 @query
 def split_failures(spark, sf):
     """Rows whose answer failed, apart from the others; none stops the job."""
@@ -277,6 +343,13 @@ def strategy_distribution(spark, sf):
     )
 
 
+@query
+def frequent_words(spark, sf):
+    """The ten most frequent words of all texts, from bounded counters per task."""
+    rows = fx.documents(spark, sf).select(words(F.lower("text")).alias("words"))
+    return frequent.most_frequent(rows, "words", WORDS, counters=COUNTERS)
+
+
 @query
 def criteria_frequency(spark, sf):
     rows = fx.sft(spark, sf).select(preferences.sample_criteria("sft_index").alias("criteria_used"))
@@ -537,6 +610,13 @@ def split_exact(spark, sf):
     return training.split_exact(docs, "doc_id")
 
 
+@query
+def split_grouped(spark, sf):
+    """No prompt on both sides, every topic and difficulty with its share on each."""
+    rows = fx.sft(spark, sf).withColumn("prompt", prompts.prompt_text("instruction", "input"))
+    return training.split_grouped(rows, ["prompt"], ["topic", "difficulty"]).select("sft_index", "split")
+
+
 @query
 def split_bucket(spark, sf):
     docs = fx.table(spark, sf, "documents").select("doc_id", "lang")
@@ -554,6 +634,24 @@ def truncation_share(spark, sf):
     return rounded(training.truncation_share(training.token_budget(fx.documents(spark, sf))), "avg_tokens")
 
 
+def piece_ids():
+    """A tokenizer for the model hook: piece ids of each text."""
+    import sentencepiece
+
+    tokenizer = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
+    return lambda requests: tokenizer.encode([r["text"] or "" for r in requests])
+
+
+@query
+def token_ids(spark, sf):
+    """The first ids of every chat text by a real tokenizer, asked once and kept."""
+    rows = fx.chat(spark, sf).select(F.concat_ws("-", "conv_id", "turn").alias("chat_id"), "instruction", "input", "output")
+    texts = training.chat_sft(rows, keep=("chat_id",))
+    answers = hook.answer_all(texts, "chat_id", ["text"], piece_ids, "array<int>", fresh_dir(spark, "ids"))
+    kept = training.budget_ids(answers.withColumnRenamed("result", "ids"), "ids")
+    return kept.select("chat_id", "input_ids", "labels", "truncated")
+
+
 @query
 def masked_accuracy(spark, sf):
     return rounded(training.masked_accuracy(fx.token_rows(spark, sf), "predictions", "labels", shift=(0, 1)), "accuracy")
@@ -565,6 +663,13 @@ def argmax_labels(spark, sf):
     return vectors.select("vec_id", training.argmax("embedding").alias("best"))
 
 
+@query
+def near_vectors(spark, sf):
+    """Groups of near copies among all vectors and a changed copy of each: its largest
+    coordinate set to zero."""
+    return vectors.near_vectors(fx.copied_vectors(spark, sf), NEAR)
+
+
 # ---- evaluation ---------------------------------------------------------------------------
 
 
@@ -584,6 +689,12 @@ def judge_outcomes(spark, sf):
     return judging.judge_outcomes(judging.parse_judge(fx.verdicts(spark, sf)))
 
 
+@query
+def judge_intervals(spark, sf):
+    found = judging.judge_intervals(judging.parse_judge(fx.verdicts(spark, sf)))
+    return rounded(found, "estimate", "lower", "upper")
+
+
 @query
 def judge_prompts(spark, sf):
     pref = fx.preferences(spark, sf)
@@ -704,6 +815,35 @@ def stream_profiles(spark, sf):
     return _listed(tutor.student_profiles(spark.read.parquet(f"{out}/log")))
 
 
+@query
+def stream_lists(spark, sf):
+    """Topic lists kept as state: events arrive in four deliveries, some of them one late,
+    and every delivery is a new run from the checkpoint. A tick closes what is open."""
+    out = fresh_dir(spark, "lists")
+    events = fx.timed_assessments(fx.table(spark, sf, "events"))
+    schema = events.drop("delivery").schema
+    for k in range(fx.DELIVERIES + 1):
+        events.filter(F.col("delivery") == k).drop("delivery").coalesce(1).write.mode("append").parquet(f"{out}/in")
+        arriving = spark.readStream.schema(schema).parquet(f"{out}/in")
+        lists.stream_lists(arriving, f"{out}/rows", f"{out}/progress", fx.LATE).awaitTermination()
+    return _listed(lists.read_lists(spark, f"{out}/rows"))
+
+
+@query
+def stream_joined_scores(spark, sf):
+    """Both sides of the pairs arrive apart, in several deliveries and as many runs; toxic
+    documents never get a preference side."""
+    out = fresh_dir(spark, "joined")
+    left, right, delay = fx.timed_sides(spark, sf)
+    for k in range(fx.DELIVERIES):
+        sides = []
+        for name, df in (("sft", left), ("preference", right)):
+            df.filter(F.col("delivery") == k).drop("delivery").write.mode("append").parquet(f"{out}/{name}")
+            sides.append(spark.readStream.schema(df.drop("delivery").schema).parquet(f"{out}/{name}"))
+        scores.stream_joined_scores(*sides, f"{out}/rows", f"{out}/progress", delay, cfg=fx.SCORING).awaitTermination()
+    return rounded(spark.read.parquet(f"{out}/rows"), *pairing.SCORES)
+
+
 @query
 def stream_progress(spark, sf):
     out = fresh_dir(spark, "progress")

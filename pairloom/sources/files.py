@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
 from pairloom.functions.text import NON_SPACE
+from pairloom.sources.json_arrays import read_array_splits
 
 CORRUPT = "_corrupt"
 
@@ -49,14 +50,14 @@ def read_json_array(
 ) -> DataFrame:
     """A file holding one JSON array.
 
-    An arbitrary array can only be parsed whole, one task per file. For an array
-    written with a fixed indentation give ``indent``: a raw line break never occurs
-    inside a JSON string, so the text between two elements is a record separator and
-    the scan splits like JSON lines.
+    An array of any layout is read in splits whose pieces are then joined to elements, by
+    a shuffle of the text (``json_arrays``). For an array written with a fixed indentation
+    give ``indent`` and save the shuffle: a raw line break never occurs inside a JSON
+    string, so the text between two elements is a record separator.
     """
     struct = _struct(schema)
     if indent is None:
-        return spark.read.schema(struct).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        return read_array_splits(spark, path, struct)
     pad = " " * indent
     pieces = spark.read.option("lineSep", f"\n{pad}}},\n{pad}{{\n").text(path)
     # Every piece is the body of one object; only the first and last carry the brackets.

@@ -37,6 +37,12 @@ def split_errors(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFr
 
 
 def require_rows(df: DataFrame, what: str = "rows") -> DataFrame:
-    if df.isEmpty():
-        raise ValueError(f"no {what} left after formatting")
-    return df
+    """``df``, or an error where it has no row, raised by the job that reads it.
+
+    A branch without rows is added, which counts to one: every task stops at its first row,
+    and where ``df`` comes out of a shuffle, both branches read the same one.
+    """
+    found = df.select(F.lit(1).alias("_x")).limit(1).agg(F.count(F.lit(1)).alias("_n"))
+    none = F.raise_error(F.lit(f"no {what} left after formatting")).cast("boolean")
+    guard = found.filter(F.when(F.col("_n") == 0, none).otherwise(False))
+    return df.unionByName(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]))

@@ -32,11 +32,15 @@ def _rows(names, rows):
     return sorted((tuple(_value(r[i]) for i in order) for r in rows), key=repr)
 
 
+# Held against brute force instead: greedy choices and tokenizers are no SQL.
+NO_TWIN = {"diverse_topk", "token_ids"}
+
+
 def test_every_query_has_a_twin():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES) | NO_TWIN
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_result(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
     result = duck.execute(ORACLES[name])

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from pairloom.operators import profiling
@@ -44,8 +45,8 @@ def test_empty_input(spark):
     assert [r.pct for r in profiling.bucket_counts(df, "d", (0.3,)).collect()] == [0.0, 0.0]
     assert profiling.share(df, F.col("d") > 0).first().pct == 0.0
     assert profiling.dataset_profile(df, {"topic": "Unknown"}).count() == 0
-    with pytest.raises(ValueError):
-        require_rows(df)
+    with pytest.raises(SparkRuntimeException, match="no rows left"):
+        require_rows(df).collect()
 
 
 def test_grouping_sets_equal_single_distributions(spark):

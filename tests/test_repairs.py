@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from pairloom import fixed
@@ -52,6 +54,10 @@ def test_topic_numbers_with_gaps_lose_no_rows(spark):
         templates.template_rows(ids, seed=1, knowledge=topics.limit(0))
 
 
+def one_document(spark):
+    return spark.createDataFrame([(1, "A b. C d. E.", "en", "src0", 12)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
 @pytest.mark.parametrize("keys", [[1, 1, 2], [1, None, 2], [-1, -1, -1]])
 def test_repeated_and_missing_keys_are_errors(spark, keys):
     df = spark.createDataFrame([(k, "A b.", "x", "t", "easy") for k in keys], "sft_index long, instruction string, input string, topic string, difficulty string")
@@ -60,8 +66,10 @@ def test_repeated_and_missing_keys_are_errors(spark, keys):
         require_unique(df, "sft_index")
     with pytest.raises(ValueError):
         preferences.build_preferences(df)
-    with pytest.raises(ValueError):
-        pairing.pair(df, df)
+    with pytest.raises((SparkRuntimeException, Py4JJavaError), match="not unique"):
+        pairing.pair(df, df).collect()
+    with pytest.raises((SparkRuntimeException, Py4JJavaError), match="not unique"):
+        pairing.score_pairs(df, fx.as_preference(one_document(spark))).collect()
 
 
 def test_preferences_read_the_texts_once(spark, sf):
