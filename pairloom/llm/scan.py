@@ -6,12 +6,15 @@ megabyte, whole documents each, so the arrays stay in cache and memory stays bou
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
+#: Slices of more bytes are digested instead of summed.
+LONG_SLICE = 512
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _LETTER = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -65,17 +68,27 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]
 
 
 class Sums:
-    """Prefix sums from which the hash of any slice of bytes (or of 64-bit values) follows."""
+    """Prefix sums from which the hash of any slice of bytes (or of 64-bit values) follows.
+
+    Sums modulo 2 ** 64 have pairs of slices with the same hash whatever the constants, the
+    shortest of which have a thousand places; longer slices of bytes get a digest of their own.
+    """
 
     def __init__(self, data: np.ndarray):
         n = len(data)
+        self.data = data if data.dtype == np.uint8 else None
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((_LETTER[data] if data.dtype == np.uint8 else data) * _power(_BASE, n)[:n], out=self.sums[1:])
         self.back = _power(_INVERSE, n)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         value = (self.sums[ends] - self.sums[starts]) * self.back[starts]
-        return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out = mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        if self.data is not None:
+            for i in np.flatnonzero(ends - starts > LONG_SLICE).tolist():
+                digest = hashlib.blake2b(self.data[starts[i] : ends[i]], digest_size=8).digest()
+                out[i] = np.uint64(int.from_bytes(digest, "little"))
+        return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
