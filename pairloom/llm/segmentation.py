@@ -28,6 +28,8 @@ from pairloom.llm import scan
 
 SPACE = "▁"
 BLOCK_CHARS = 1 << 18
+#: Ids that are spelled with one index array.
+SPELLED = 1 << 16
 FILTER_BITS = 20
 #: A piece of rank r has weight 1 / (r + FLATTEN); the model's scores are minus the ranks.
 FLATTEN = 10.0
@@ -339,33 +341,68 @@ def sample_block(texts: list[str | None], seeds: np.ndarray, k: int, vocabulary:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), rows)
 
 
-def _spelling(vocabulary: Vocabulary) -> dict[int, bytes]:
-    spelled = {i: p.replace(SPACE, " ").encode() for i, p in vocabulary.pieces.items()}
-    spelled.update({int(i): bytes([b]) for b, i in enumerate(vocabulary.bytes) if i >= 0})
-    return spelled
+class Speller:
+    """Bytes of lists of ids, gathered from one flat table of all pieces."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        spelled = {i: p.replace(SPACE, " ").encode() for i, p in vocabulary.pieces.items()}
+        spelled.update({int(i): bytes([b]) for b, i in enumerate(vocabulary.bytes) if i >= 0})
+        n = max(spelled, default=-1) + 1
+        pieces = [spelled.get(i, b"") for i in range(n)]
+        self.known = np.array([i in spelled for i in range(n)], bool)
+        self.size = np.array([len(p) for p in pieces], np.int32)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.table = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[int]]:
+        """The bytes of all lists, one after the other, and where each ends."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or not self.known[ids].all()):
+            raise KeyError("an id that is no piece")
+        size = self.size[ids]
+        upto = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        out = np.empty(int(upto[-1]), np.uint8)
+        for lo in range(0, len(ids), SPELLED):  # in pieces that stay in cache
+            hi = min(lo + SPELLED, len(ids))
+            begin = (self.start[ids[lo:hi]] - (upto[lo:hi] - upto[lo])).astype(np.int32)
+            place = np.repeat(begin, size[lo:hi])
+            place += np.arange(len(place), dtype=np.int32)
+            np.take(self.table, place, out=out[upto[lo] : upto[hi]], mode="clip")
+        return out.tobytes(), upto[ends].tolist()
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all lists, and where each list ends; null is empty."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)  # null lists have no part in it
+    return flat, np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False))
 
 
-def _spell(column: pa.Array, spelled: dict[int, bytes]) -> list[str | None]:
-    """The text of each list of ids; null for a null list."""
-    texts = []
-    flat = column.flatten().to_numpy(zero_copy_only=False)  # null lists have no part in it
-    ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-    begin = 0
+def _spell(column: pa.Array, speller: Speller) -> list[str | None]:
+    """The text of each list of ids, without the blank that was put before it; null for a null list."""
+    texts, begin = [], 0
+    whole, ends = speller.spell(*_lists(column))
     for known, end in zip(column.is_valid().to_pylist(), ends, strict=True):
-        text = b"".join([spelled[i] for i in flat[begin:end].tolist()]).decode(errors="replace") if known else None
+        text = whole[begin:end].decode(errors="replace") if known else None
         texts.append(text[1:] if text else text)
         begin = end
     return texts
 
 
-def _with_decoded(samples: pa.ListArray, texts: list[str | None], spelled: dict[int, bytes]) -> pa.Array:
+def _with_decoded(samples: pa.ListArray, texts: list[str | None], speller: Speller) -> pa.Array:
     """The samples of a block, each with the SHA-256 of what its ids decode to and whether that is the text."""
     rows = samples.values
-    decoded = _spell(rows.field("ids"), spelled)
+    whole, ends = speller.spell(*_lists(rows.field("ids")))
     owner = np.repeat(np.arange(len(texts)), np.diff(samples.offsets.to_numpy())).tolist()
-    sha = pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string())
-    same = pa.array([d == texts[t] for d, t in zip(decoded, owner, strict=True)], pa.bool_())
-    rows = pa.StructArray.from_arrays([*rows.flatten(), sha, same], names=[*(f.name for f in rows.type), "decoded_sha256", "round_trip"])
+    sha, same, begin, now, own, own_sha = [], [], 0, None, b"", ""
+    for t, end in zip(owner, ends, strict=True):
+        if t != now:  # the digest of a text is made once, for all samples that decode to it
+            now, own = t, texts[t].encode()
+            own_sha = hashlib.sha256(own).hexdigest()
+        text = whole[begin:end]
+        # Without the blank that was put before it, or what a model without one spells instead.
+        text, begin = text[1:] if text[:1] == b" " else text.decode(errors="replace")[1:].encode(), end
+        same.append(text == own)
+        sha.append(own_sha if same[-1] else hashlib.sha256(text.decode(errors="replace").encode()).hexdigest())
+    rows = pa.StructArray.from_arrays([*rows.flatten(), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], names=[*(f.name for f in rows.type), "decoded_sha256", "round_trip"])
     return pa.ListArray.from_arrays(samples.offsets, rows)
 
 
@@ -383,19 +420,20 @@ def sample_segmentations(
     executors, which need not have the model file.
 
     With ``decoded`` every sample's ids are decoded where they are drawn, block by block, and
-    the sample also has ``decoded_sha256`` and ``round_trip``, whether that is the text.
+    the sample also has ``decoded_sha256`` and ``round_trip``, whether that is the text. It
+    is not for a text that holds the mark U+2581 itself, which stands for a blank.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
 
     def draw(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        spelled = _spelling(vocabulary.value) if decoded else {}
+        speller = Speller(vocabulary.value) if decoded else None
         for texts, keys in columns:
             seeds = keys.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
             _, offsets = scan.utf8(texts)
             for i, j in scan.blocks(offsets, BLOCK_CHARS):
                 part = texts.slice(i, j - i).to_pylist()
                 samples = sample_block(part, scan.mix(seeds[i:j].copy()), k, vocabulary.value)
-                yield _with_decoded(samples, part, spelled) if decoded else samples
+                yield _with_decoded(samples, part, speller) if decoded else samples
 
     row = F.col("row")
     draw_udf = F.arrow_udf(draw, DECODED_SAMPLES if decoded else SAMPLES).asNondeterministic()
@@ -408,8 +446,8 @@ def decode(docs: DataFrame, model_file: str, ids_col: str = "ids", out: str = "d
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
 
     def spell(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        spelled = _spelling(vocabulary.value)
+        speller = Speller(vocabulary.value)
         for column in columns:
-            yield pa.array(_spell(column, spelled), pa.string())
+            yield pa.array(_spell(column, speller), pa.string())
 
     return docs.withColumn(out, F.arrow_udf(spell, "string").asNondeterministic()(F.col(ids_col)))
