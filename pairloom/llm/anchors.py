@@ -70,8 +70,7 @@ class Stretches:
             self.h = np.empty(0, np.uint64)
             self.row = self.first = self.size = np.empty(0, np.int64)
             return
-        i = np.arange(len(values) - cut.seed + 1)
-        seeds = self.sums.of(i, i + cut.seed)
+        seeds = self.sums.every(cut.seed)
         anchor = np.empty(n, np.int64)
         tile = 1 << (PLACE_BITS - 1)
         for a in range(0, n, tile):

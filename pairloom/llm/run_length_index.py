@@ -118,16 +118,24 @@ class RunLengthIndex:
 
 
 def _suffix_order(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes by doubling; only suffixes that are still tied are sorted again.
-    The separators differ, so no tie outlasts the longest common part of two strings."""
+    """Order of all suffixes by doubling, from as many symbols as fit a number; only suffixes
+    that are still tied are sorted again. The separators differ, so no tie outlasts the
+    longest common part of two strings."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    ranked = text[order]
+    bits = max(1, int(text.max(initial=0)).bit_length())
+    packed = max(1, 62 // bits)
+    start = text.copy()
+    packed = min(packed, n)
+    for j in range(1, packed):
+        start <<= bits
+        start[: n - j] |= text[j:]
+    order = np.argsort(start)
+    ranked = start[order]
     first = np.flatnonzero(np.diff(ranked, prepend=ranked[0] - 1))
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(first, np.diff(np.append(first, n)))
     tied = order[np.repeat(np.diff(np.append(first, n)) > 1, np.diff(np.append(first, n)))]
-    step = 1
+    step = packed
     while len(tied):
         after = np.zeros(len(tied), np.int64)
         inside = tied + step < n

@@ -90,6 +90,12 @@ class Sums:
                 out[i] = np.uint64(int.from_bytes(digest, "little"))
         return out
 
+    def every(self, k: int) -> np.ndarray:
+        """``of`` for every run of k, from views instead of gathered copies; k is a window or
+        shorter and never a long slice."""
+        value = (self.sums[k:] - self.sums[: len(self.sums) - k]) * self.back[: len(self.sums) - k]
+        return mix(value + np.uint64(k * 0xD6E8FEB86659FD93 % 2**64))
+
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (maximal runs of ``is_word`` bytes that do not cross
