@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm.decontamination import remove_benchmark
 from pairloom.llm.jaccard_join import near_duplicates
-from pairloom.llm.language_id import NO_LANGUAGE, held_out, identify_languages, train_prototypes
+from pairloom.llm.language_id import held_out, identify_languages, reaches, score_floors, train_prototypes
 from pairloom.llm.line_dedup import dedup_lines
 from pairloom.llm.queries import MODEL, SAMPLES
 from pairloom.llm.segmentation import sample_segmentations
@@ -19,12 +19,15 @@ from pairloom.llm.tables import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (null text, no letter) go. Where no language
-    could be learned, every document with a letter stays."""
+    """Documents in no learned language go: null texts, texts without a letter, and those whose
+    cosine stays far below what the training texts of their length reach. Where no language
+    could be learned, every document with a letter stays. Repeated ids are rows of their own."""
     prototypes = train_prototypes(docs.filter(~held_out()))
     if not prototypes:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return identify_languages(docs, prototypes).filter(F.col("lang_pred") != NO_LANGUAGE).select("row.*")
+    found = stored(identify_languages(docs, prototypes), "languages")
+    floors = score_floors(found, ~held_out(F.col("row.doc_id")) & F.col("row.lang").isNotNull())
+    return found.filter(reaches(floors)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
