@@ -174,3 +174,32 @@ def identify_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], text_
     and ``score``."""
     found = docs.select(F.struct("*").alias("row")).withColumn("_found", identifier(prototypes)(F.col("row").getField(text_col)))
     return found.select("row", F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
+
+
+def letter_class(text: Column) -> Column:
+    """The power of two that the number of letters reaches; null without any."""
+    n = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    return F.when(n > 0, F.floor(F.log2(n)).cast("int"))
+
+
+#: Texts of fewer letters than this power of two have too few runs to be judged.
+LEAST_LETTERS = 5
+
+
+def score_floors(found: DataFrame, trained: Column, text_col: str = "text", share: float = 0.25) -> dict[int, float]:
+    """What a text in a learned language reaches at least, by ``letter_class``: ``share`` of
+    the median score of the texts from which the languages were learned (rows of
+    ``identify_languages`` where ``trained``). Short texts score lower, so each length has
+    its own floor; lengths without such texts, and those below ``LEAST_LETTERS``, have none.
+    At most 32 numbers reach the driver."""
+    rows = found.filter(trained).select(letter_class(F.col(f"row.{text_col}")).alias("letters"), "score")
+    middle = rows.filter(F.col("letters") >= LEAST_LETTERS).groupBy("letters").agg(F.percentile_approx("score", 0.5, 10_000).alias("middle"))
+    return {r.letters: r.middle * share for r in middle.collect()}
+
+
+def reaches(floors: dict[int, float], text_col: str = "text") -> Column:
+    """Whether a row of ``identify_languages`` is in one of the learned languages."""
+    floor = F.lit(0.0)
+    for letters, low in floors.items():
+        floor = F.when(letter_class(F.col(f"row.{text_col}")) == letters, F.lit(low)).otherwise(floor)
+    return (F.col("lang_pred") != NO_LANGUAGE) & (F.col("score") >= floor)
