@@ -22,12 +22,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no learned language go: null texts, texts without a letter, and those whose
     cosine stays far below what the training texts of their length reach. Where no language
     could be learned, every document with a letter stays. Repeated ids are rows of their own."""
-    prototypes = train_prototypes(docs.filter(~held_out()))
+    trained = docs.filter(~held_out() & F.col("lang").isNotNull())
+    prototypes = train_prototypes(trained)
     if not prototypes:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = stored(identify_languages(docs, prototypes), "languages")
-    floors = score_floors(found, ~held_out(F.col("row.doc_id")) & F.col("row.lang").isNotNull())
-    return found.filter(reaches(floors)).select("row.*")
+    floors = score_floors(identify_languages(trained.select("text"), prototypes))
+    return identify_languages(docs, prototypes).filter(reaches(floors)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
