@@ -186,13 +186,13 @@ def letter_class(text: Column) -> Column:
 LEAST_LETTERS = 5
 
 
-def score_floors(found: DataFrame, trained: Column, text_col: str = "text", share: float = 0.25) -> dict[int, float]:
+def score_floors(found: DataFrame, text_col: str = "text", share: float = 0.25) -> dict[int, float]:
     """What a text in a learned language reaches at least, by ``letter_class``: ``share`` of
-    the median score of the texts from which the languages were learned (rows of
-    ``identify_languages`` where ``trained``). Short texts score lower, so each length has
+    the median score of the texts from which the languages were learned (``found``: their
+    rows of ``identify_languages``). Short texts score lower, so each length has
     its own floor; lengths without such texts, and those below ``LEAST_LETTERS``, have none.
     At most 32 numbers reach the driver."""
-    rows = found.filter(trained).select(letter_class(F.col(f"row.{text_col}")).alias("letters"), "score")
+    rows = found.select(letter_class(F.col(f"row.{text_col}")).alias("letters"), "score")
     middle = rows.filter(F.col("letters") >= LEAST_LETTERS).groupBy("letters").agg(F.percentile_approx("score", 0.5, 10_000).alias("middle"))
     return {r.letters: r.middle * share for r in middle.collect()}
 
