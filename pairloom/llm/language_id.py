@@ -137,30 +137,33 @@ def train_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
 
 def identifier(prototypes: dict[str, np.ndarray]):
-    """A column function from text to ``struct<lang, score>``. The score is the cosine,
-    at least 0. Null, a text without letters, or no prototypes give ``und`` and 0. Of
+    """A column function from text to ``struct<lang, score, letters>``. The score is the
+    cosine, at least 0; ``letters`` is their number. Null, a text without letters, or no prototypes give ``und`` and 0. Of
     equal cosines the first language in alphabetical order wins."""
     names = sorted(prototypes)
     matrix = np.stack([prototypes[n] for n in names]) if names else np.zeros((0, DIM))
 
     def identify(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
-            langs, scores = [], []
+            langs, scores, letters = [], [], []
             for _, texts in _parts(column):
+                grams = Grams(texts)
+                letters += np.bincount(grams.row, minlength=len(texts)).tolist()
                 if not names:
                     langs += [NO_LANGUAGE] * len(texts)
                     scores += [0.0] * len(texts)
                     continue
-                bundles = Grams(texts).bundles(np.arange(len(texts)), len(texts), matrix.shape[1])
+                bundles = grams.bundles(np.arange(len(texts)), len(texts), matrix.shape[1])
                 length = np.linalg.norm(bundles, axis=1)
                 cosine = bundles @ matrix.T / np.where(length > 0, length, 1)[:, None]
                 best = cosine.argmax(axis=1)
                 for k, (b, n) in enumerate(zip(best.tolist(), length.tolist(), strict=True)):
                     langs.append(names[b] if n > 0 else NO_LANGUAGE)
                     scores.append(min(1.0, max(0.0, float(cosine[k, b]))) if n > 0 else 0.0)
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+            columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.int64())]
+            yield pa.StructArray.from_arrays(columns, names=["lang", "score", "letters"])
 
-    return F.arrow_udf(identify, "lang string, score double").asNondeterministic()
+    return F.arrow_udf(identify, "lang string, score double, letters long").asNondeterministic()
 
 
 def held_out(id_col: Column | str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
@@ -170,36 +173,29 @@ def held_out(id_col: Column | str = "doc_id", folds: int = 3, fold: int = 1) ->
 
 
 def identify_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` in a struct ``row`` (so any names may occur), ``lang_pred``
-    and ``score``."""
+    """All columns of ``docs`` in a struct ``row`` (so any names may occur), ``lang_pred``,
+    ``score`` and ``letters``, the number of letters."""
     found = docs.select(F.struct("*").alias("row")).withColumn("_found", identifier(prototypes)(F.col("row").getField(text_col)))
-    return found.select("row", F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
-
-
-def letter_class(text: Column) -> Column:
-    """The power of two that the number of letters reaches; null without any."""
-    n = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return F.when(n > 0, F.floor(F.log2(n)).cast("int"))
+    return found.select("row", F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"), F.col("_found.letters").alias("letters"))
 
 
 #: Texts of fewer letters than this power of two have too few runs to be judged.
 LEAST_LETTERS = 5
 
 
-def score_floors(found: DataFrame, text_col: str = "text", share: float = 0.25) -> dict[int, float]:
-    """What a text in a learned language reaches at least, by ``letter_class``: ``share`` of
-    the median score of the texts from which the languages were learned (``found``: their
-    rows of ``identify_languages``). Short texts score lower, so each length has
-    its own floor; lengths without such texts, and those below ``LEAST_LETTERS``, have none.
-    At most 32 numbers reach the driver."""
-    rows = found.select(letter_class(F.col(f"row.{text_col}")).alias("letters"), "score")
-    middle = rows.filter(F.col("letters") >= LEAST_LETTERS).groupBy("letters").agg(F.percentile_approx("score", 0.5, 10_000).alias("middle"))
-    return {r.letters: r.middle * share for r in middle.collect()}
+def score_floors(found: DataFrame, share: float = 0.25) -> dict[int, float]:
+    """What a text in a learned language reaches at least, by the power of two that its number
+    of letters reaches: ``share`` of the median score of the texts from which the languages
+    were learned (``found``: their rows of ``identify_languages``). Short texts score lower, so
+    each length has its own floor; lengths without such texts, and those below
+    ``LEAST_LETTERS``, have none. At most 32 numbers reach the driver."""
+    rows = found.filter(F.col("letters") >= 1 << LEAST_LETTERS).groupBy(F.floor(F.log2("letters")).alias("length"))
+    return {r.length: r.middle * share for r in rows.agg(F.percentile_approx("score", 0.5, 10_000).alias("middle")).collect()}
 
 
-def reaches(floors: dict[int, float], text_col: str = "text") -> Column:
+def reaches(floors: dict[int, float]) -> Column:
     """Whether a row of ``identify_languages`` is in one of the learned languages."""
     floor = F.lit(0.0)
-    for letters, low in floors.items():
-        floor = F.when(letter_class(F.col(f"row.{text_col}")) == letters, F.lit(low)).otherwise(floor)
+    for length, low in floors.items():
+        floor = F.when(F.col("letters").between(1 << length, (2 << length) - 1), F.lit(low)).otherwise(floor)
     return (F.col("lang_pred") != NO_LANGUAGE) & (F.col("score") >= floor)
