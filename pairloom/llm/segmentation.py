@@ -223,8 +223,8 @@ class Block:
                     break
 
     def sample(self, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """k + 1 rounds of (which texts have a path, step per position, log-probability,
-        perturbed value)."""
+        """k rounds of (which texts have a path, step per position, log-probability, perturbed
+        value), and one of which only the value of the next path holds."""
         width = len(self.lattice.prob)
         word_text = self.text_of[self.starts]
         step, log_p = np.zeros(self.size, np.uint8), np.zeros(self.size)
@@ -271,6 +271,9 @@ class Block:
                 owner, i = np.unique(text_r[hit], return_index=True)
                 best[owner], which[owner], where[owner] = top[owner], r, hit[i]
             alive, value = best > -np.inf, best
+            if round_ == k - 1:  # of what follows the sample only the value counts, as its threshold
+                paths.append((alive, step, total, np.where(alive, value, -np.inf)))
+                break
             new_avoid, new_cut = {}, cut.copy()
             step, log_p = np.zeros(self.size, np.uint8), np.zeros(self.size)
             for r, (at_r, text_r, _, drawn_r, step_r, log_r, cut_r, avoid_r) in enumerate(left):
