@@ -31,6 +31,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S++")
+_SIGNS = re.compile(r"[\W_]*+")
 _HEX = re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{24,}")
 
 #: An instance that is not a fixed format has at least so many characters and digits.
@@ -99,11 +100,12 @@ def _word(token: str) -> str:
 
 
 def instances(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple]:
-    """Tokens that look like identifiers, as (start, end, shape, seed, patterns).
+    """Identifiers inside their tokens, as (start, end, shape, seed, patterns).
 
-    The quotes and brackets around a token belong to its patterns. Two patterns: the two
-    words before it, and one word on either side. A token that touches a base span stands
-    for that span's kind and is a seed.
+    Signs around an identifier are not part of it; the nearest one on either side belongs
+    to its patterns. Two patterns: the two words before it, and one word on either side; ``^``
+    stands for the start of the text. A token that touches a base span stands for that
+    span's kind and is a seed.
     """
     if not text or not (base or _DIGIT.search(text)):
         return []
@@ -115,15 +117,13 @@ def instances(text: str | None, base: list[tuple[str, int, int]]) -> list[tuple]
             k += 1
         kind = spans[k][2] if k < len(spans) and spans[k][0] < b else None
         token = text[a:b]
-        left = len(token) - len(token.lstrip("\"'([{<"))
-        inner = token[left:].rstrip("\"')]}>.,;:!?")
+        left = _SIGNS.match(token).end()
+        inner = token[left : max(left, len(token) - _SIGNS.match(token[::-1]).end())]
         if kind is None and (len(inner) < MIN_LENGTH or len(_DIGIT.findall(inner)) < MIN_DIGITS):
             continue
-        before = [_word(text[x:y]) for x, y in tokens[max(0, i - 2) : i]]
+        before = [_word(text[x:y]) for x, y in tokens[max(0, i - 2) : i]] or ["^"]
         after = _word(text[slice(*tokens[i + 1])]) if i + 1 < len(tokens) else ""
-        if not before:
-            continue
-        edge = token[:left] + "_" + token[left + len(inner) :]
+        edge = token[max(0, left - 1) : left] + "_" + token[left + len(inner) : left + len(inner) + 1]
         patterns = [f"{' '.join(before)} {edge}", f"{before[-1]} {edge} {after}"]
         shape = f"base:{kind}" if kind else _shape(inner)
         out.append((a + left, a + left + len(inner), shape, bool(kind) or shape.startswith("hex:"), patterns))
