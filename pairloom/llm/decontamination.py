@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from pairloom.llm import scan
+from pairloom.llm.tables import stored
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows go to the executors at once.
@@ -87,13 +89,13 @@ def find(column: pa.Array, known: Windows) -> pa.Array:
     )
 
 
-def _blocks_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list]:
-    """Items in blocks of at most about ``limit`` bytes, however large the benchmark is."""
+def _blocks_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> tuple[int, Iterator[list]]:
+    """How many blocks of about ``limit`` bytes the items make, and the blocks, one at a time."""
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).distinct()
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // limit))
-    for b in range(n):
-        yield [(r.i, r.t) for r in rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
+    mine = lambda b: rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
+    return n, ([(r.i, r.t) for r in mine(b).collect()] for b in range(n))
 
 
 def _scanner(known: Broadcast):
@@ -121,23 +123,26 @@ def benchmark_hits(
     A window is ``size`` consecutive words of an item; an item with fewer words is one
     window, an item without words is none. Null text has no words. An item without an id
     marks words and is not listed. An empty benchmark marks nothing. A benchmark beyond
-    ``block_bytes`` is sent and scanned in several blocks whose hits are united.
+    ``block_bytes`` is sent and scanned block after block; the hits of each are written, so
+    driver and executors hold one block at a time.
     """
-    out = docs.select(F.struct("*").alias("row"))
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.col("row").getField(text_col)
     context = docs.sparkSession.sparkContext
-    united = None
-    for k, block in enumerate(_blocks_of(benchmark, item_col, item_text_col, block_bytes)):
-        scan_block = _scanner(context.broadcast(Windows(block, size)))
-        out = out.withColumn(f"_f{k}", scan_block(F.col("row").getField(text_col)))
-        one = F.col(f"_f{k}")
-        united = (
-            (one["n_words"], one["hits"], one["items"])
-            if united is None
-            else (united[0], F.array_union(united[1], one["hits"]), F.array_union(united[2], one["items"]))
-        )
-    # A union keeps the order of the blocks; hits and items are in order however many there are.
-    hits, items = (F.array_sort(c) for c in united[1:])
-    return out.select("row", united[0].alias("n_words"), hits.alias("hits"), items.alias("items"))
+    n_blocks, blocks = _blocks_of(benchmark, item_col, item_text_col, block_bytes)
+    if n_blocks == 1:
+        found = rows.withColumn("_f", _scanner(context.broadcast(Windows(next(blocks), size)))(text))
+        return found.select("row", "_f.n_words", "_f.hits", "_f.items")
+    rows = stored(rows.withColumn("_n", F.monotonically_increasing_id()), "scanned")
+    parts = []
+    for k, block in enumerate(blocks):
+        known = context.broadcast(Windows(block, size))
+        one = rows.select("_n", _scanner(known)(text).alias("_f")).select("_n", "_f.*")
+        parts.append(stored(one if k == 0 else one.filter(F.size("hits") > 0), "hits"))
+        known.destroy()
+    in_order = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    united = reduce(DataFrame.unionByName, parts).groupBy("_n").agg(F.max("n_words").alias("n_words"), in_order("hits"), in_order("items"))
+    return rows.join(united, "_n").select("row", "n_words", "hits", "items")
 
 
 def is_contaminated(share: int = 20) -> Column:
