@@ -47,6 +47,8 @@ BROADCAST_ROWS = 2_000_000
 #: Chance that an unrelated set of the band holds a given shingle, for the cost estimate.
 CHANCE = 1e-6
 SMALL_BAND = 6
+#: Bytes of text whose sets are made at once; their arrays take some fifty times as much.
+SET_BYTES = 1 << 18
 FLUSH = 1 << 18
 
 INFO = "doc long, node long, check long, size long, short boolean, cells binary"
@@ -170,7 +172,7 @@ class Sets:
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, Sets]]:
     ids = batch.column(0)
     data, offsets = scan.utf8(batch.column(1))
-    for i, j in scan.blocks(offsets):
+    for i, j in scan.blocks(offsets, SET_BYTES):
         yield ids.slice(i, j - i), Sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
