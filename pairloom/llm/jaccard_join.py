@@ -14,7 +14,9 @@ a signature that linked sets share. Three refinements:
   estimate decides this for each band.
 * A signature with many sets is skipped for every set that has enough others; only sets
   without spare segments are compared with its members: first with one of them, then, in
-  blocks, across what still are different components.
+  blocks, across what still are different components. All sets order their crowded
+  signatures alike, so linked sets meet in the first ones of both (prefix filter), and a
+  pair that shares one of the signatures just before is left to that one.
 
 The spare segments also count: a linked pair shares one signature more than the spare ones
 that it has not lost to skipped signatures, so pairs that share fewer are dropped. What is
@@ -42,6 +44,8 @@ CELLS = 512
 FEW = 16
 #: Members of a larger signature that are compared in one piece.
 BLOCK = 4096
+#: So many of a set's crowded signatures before one tell which pairs have met before it.
+BEFORE = 4
 #: So many document numbers (16 bytes each) may be sent to every executor.
 BROADCAST_ROWS = 2_000_000
 #: Chance that an unrelated set of the band holds a given shingle, for the cost estimate.
@@ -315,10 +319,13 @@ def _plausible(a: pa.Array, b: pa.Array, total: pa.Array) -> pa.Array:
 
 def _compare(rows: DataFrame) -> DataFrame:
     """Plausible pairs ``a, b`` of different components within every piece (g, block): the
-    rows that ask against all members of the piece."""
+    rows that ask against all members of the piece. ``before`` holds the signatures just
+    before g in a row's order; two rows that share one have been compared there, so few
+    pairs come more than once. The first signature of a pair is never left out."""
 
     def pairs(held: list[list]) -> pa.RecordBatch:
-        g, block, asks, member, node, size, label, cells = (np.concatenate(x) for x in zip(*held, strict=True))
+        g, block, asks, member, node, size, label, cells, *before = (np.concatenate(x) for x in zip(*held, strict=True))
+        before = np.stack(before, axis=1)
         cells = np.frombuffer(b"".join(cells.tolist()), np.uint8).reshape(-1, CELLS)
         cut = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (block[1:] != block[:-1]), [True]]))
         out_a, out_b = [], []
@@ -326,6 +333,8 @@ def _compare(rows: DataFrame) -> DataFrame:
             mine = x + np.flatnonzero(member[x:y])
             for q in (x + np.flatnonzero(asks[x:y])).tolist():
                 other = mine[(label[mine] != label[q]) & (4 * np.minimum(size[mine], size[q]) >= 3 * np.maximum(size[mine], size[q]))]
+                own = before[q][before[q] != 0]
+                other = other[~np.isin(before[other], own).any(axis=1)] if len(other) and len(own) else other
                 other = other[_near(cells[other], cells[q], size[other] + size[q])] if len(other) else other
                 out_a.append(np.minimum(node[other], node[q]))
                 out_b.append(np.maximum(node[other], node[q]))
@@ -336,9 +345,9 @@ def _compare(rows: DataFrame) -> DataFrame:
         for columns in sorted_groups(batches, 1 << 14):
             yield pairs([columns])
 
-    dealt = rows.select("piece", "block", "asks", "member", "node", "size", "label", "cells")
+    dealt = rows.select("piece", "block", "asks", "member", "node", "size", "label", "cells", *[f"before{i}" for i in range(1, BEFORE + 1)])
     dealt = dealt.repartition(partitions(rows.sparkSession), "piece").sortWithinPartitions("piece", "block")
-    return dealt.mapInArrow(emit, "a long, b long").distinct()
+    return dealt.mapInArrow(emit, "a long, b long")
 
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
@@ -444,11 +453,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
 
     # A linked pair shares more signatures than a set can spare, so a set may leave out as
-    # many of its crowded ones as it can spare: the most crowded.
-    crowd = Window.partitionBy("node", "band").orderBy("n", "g").rowsBetween(Window.unboundedPreceding, -1)
+    # many of its crowded ones as it can spare: the most crowded. The order is the same for
+    # all, so the first one that two linked sets share is among those that both of them ask.
+    # With one-deletion neighbourhoods the units are no count, and all members stay.
+    ordered = Window.partitionBy("node", "band").orderBy("n", "g")
+    crowd = ordered.rowsBetween(Window.unboundedPreceding, -1)
     asked_before = F.coalesce(F.sum("units").over(crowd), F.lit(0))
-    known = members.join(tight, ["node", "band"], "left").withColumn("asks", F.coalesce(asked_before < F.col("owed"), F.lit(False)))
-    known = known.join(labels, "node", "left").select("g", "node", "size", "n", F.coalesce("label", "node").alias("label"), "asks")
+    before = {f"before{i}": F.coalesce(F.lag("g", i).over(ordered), F.lit(0)) for i in range(1, BEFORE + 1)}
+    known = members.join(tight, ["node", "band"], "left" if plan.deletions else "inner")
+    known = known.withColumns({"asks": F.coalesce(asked_before < F.col("owed"), F.lit(False)), **before})
+    known = known if plan.deletions else known.filter("asks")
+    known = known.join(labels, "node", "left").select("g", "node", "size", "n", F.coalesce("label", "node").alias("label"), "asks", *before)
     known = stored(known, "many")
     open_ = known.groupBy("g").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("asks").alias("_asks"))
     rows = known.join(open_.filter("_lo != _hi and _asks").select("g"), "g").withColumn("pieces", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -456,7 +471,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array("home"))
     rows = rows.withColumn("block", F.explode(asked)).withColumn("member", F.col("block") == F.col("home"))
     rows = rows.join(cells.select("node", "cells"), "node").withColumn("piece", F.xxhash64("g", "block"))
-    more = stored(_verify(_compare(rows), texts, sets, plan), "more-links")
+    more = stored(_verify(_compare(rows).distinct(), texts, sets, plan), "more-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
