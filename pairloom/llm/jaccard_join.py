@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,10 @@ SMALL_BAND = 6
 #: Bytes of text whose sets are made at once; their arrays take some fifty times as much.
 SET_BYTES = 1 << 18
 FLUSH = 1 << 18
+#: Low bytes of a signature that travel; with its bucket they tell signatures apart.
+SIG_BYTES = 5
+#: Signatures are shuffled in so many rounds, so that a part of them is on disk at a time.
+ROUNDS = 2
 
 INFO = "doc long, node long, check long, size long, short boolean, cells binary"
 SIGNATURES = "bucket int, sig binary, node binary, size binary, band binary, units binary, spare binary"
@@ -61,6 +66,47 @@ FOUND = "g long, node long, size int, band int, units int, spare int, n int, oth
 _PARTS = (("sig", np.uint64), ("node", np.int64), ("size", np.int32), ("band", np.int8), ("units", np.int8), ("spare", np.int32))
 
 
+def _usual_spare(size: np.ndarray) -> np.ndarray:
+    """What a set can spare that has enough segments."""
+    return (size // 3 + 1) // 5 + 4
+
+
+def _usual_band(size: np.ndarray) -> np.ndarray:
+    return np.frexp(size.astype(np.float64))[1] - 1
+
+
+def _width(name: str, kind: type) -> int:
+    return SIG_BYTES if name == "sig" else np.dtype(kind).itemsize
+
+
+def packed(parts: dict[str, np.ndarray], cut: np.ndarray, there: np.ndarray) -> list[pa.Array]:
+    """Signatures, in the order of their buckets, as one binary value per column and bucket:
+    the lowest bytes of all values, then the next ones, so that equal high bytes cost little.
+    Band and spare segments are told by what is usual for the size."""
+    size, columns = parts["size"], []
+    told = parts | {"band": parts["band"] - _usual_band(size), "spare": _usual_spare(size) - parts["spare"]}
+    for name, kind in _PARTS:
+        values = told[name].astype(kind).view(np.uint8).reshape(len(size), -1)[:, : _width(name, kind)]
+        columns.append(pa.array([values[cut[b] : cut[b + 1]].T.tobytes() for b in there], pa.binary()))
+    return columns
+
+
+def unpacked(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The signatures in rows of one bucket, whose number stands above their low bytes."""
+    parts = {}
+    for place, (name, kind) in enumerate(_PARTS, 1):
+        data, at = scan.utf8(batch.column(place))
+        width = _width(name, kind)
+        values = np.zeros((len(data) // width, np.dtype(kind).itemsize), np.uint8)
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            values[x // width : y // width, :width] = data[x:y].reshape(width, -1).T
+        parts[name] = values.reshape(-1).view(kind)
+    parts["sig"] |= np.uint64(batch.column(0)[0].as_py()) << np.uint64(8 * SIG_BYTES)
+    parts["band"] = (parts["band"] + _usual_band(parts["size"])).astype(np.int8)
+    parts["spare"] = (_usual_spare(parts["size"]) - parts["spare"]).astype(np.int32)
+    return parts
+
+
 @dataclass(frozen=True)
 class Plan:
     """Salt of the hashes and the bands that index one-deletion neighbourhoods."""
@@ -201,19 +247,17 @@ def _describe(texts: DataFrame, plan: Plan) -> DataFrame:
     return texts.mapInArrow(emit, INFO)
 
 
-def _signature_rows(texts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
-    """Signatures packed by bucket: one row per bucket and ``FLUSH`` signatures."""
+def _signature_rows(texts: DataFrame, plan: Plan, buckets: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """Signatures packed by bucket: one row per bucket and ``FLUSH`` signatures. Of several
+    rounds each has the signatures of its own ``buckets``; together they have all."""
 
     def pack(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         whole = {k: np.concatenate([x[k] for x in held]) for k, _ in _PARTS}
-        bucket = ((whole["sig"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        bucket = ((whole["sig"] >> np.uint64(8 * SIG_BYTES)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         there = np.flatnonzero(np.diff(cut))
-        columns = [pa.array(there.astype(np.int32))]
-        for name, kind in _PARTS:
-            values = whole[name][order].astype(kind)
-            columns.append(pa.array([values[cut[b] : cut[b + 1]].tobytes() for b in there], pa.binary()))
+        columns = [pa.array(there.astype(np.int32)), *packed({k: v[order] for k, v in whole.items()}, cut, there)]
         return pa.RecordBatch.from_arrays(columns, names=["bucket", *[k for k, _ in _PARTS]])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +275,9 @@ def _signature_rows(texts: DataFrame, plan: Plan, buckets: int) -> DataFrame:
                 sets.token, sets.row, sets.size = sets.token[keep], sets.row[keep], np.where(fresh, sets.size, 0)
                 for next_band in (False, True):
                     found = sets.signatures(node, plan, next_band)[0]
+                    if rounds > 1:
+                        mine = (found["sig"] >> np.uint64(32)) % np.uint64(rounds) == turn
+                        found = {k: v[mine] for k, v in found.items()}
                     held.append(found)
                     count += len(found["sig"])
                 if count >= FLUSH:
@@ -248,7 +295,8 @@ def _collisions(rows: DataFrame) -> DataFrame:
     the signature as ``other``."""
 
     def collide(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        parts = {k: np.concatenate([scan.utf8(x.column(k))[0] for x in held]).view(t) for k, t in _PARTS}
+        each = [unpacked(x) for x in held]
+        parts = {k: np.concatenate([x.pop(k) for x in each]) for k, _ in _PARTS}
         order = np.lexsort((parts["node"], parts["sig"]))
         sig, node = parts["sig"][order], parts["node"][order]
         new = np.ones(len(sig), bool)
@@ -391,7 +439,7 @@ def _finely_plausible(a: pa.Array, b: pa.Array, total: pa.Array) -> pa.Array:
 
 def _verify(pairs: DataFrame, texts: DataFrame, info: DataFrame, plan: Plan) -> DataFrame:
     """The pairs whose whole sets are similar enough. Sets travel for those pairs only that
-    the fine histograms do not rule out."""
+    the fine histograms do not rule out, and not through the driver, however few they are."""
     pairs = stored(pairs, "candidates")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = stored(info.groupBy("node").agg(F.min("doc").alias("doc")).join(nodes, "node", "left_semi"), "wanted")
@@ -400,7 +448,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, info: DataFrame, plan: Plan) ->
     def joined(rows: DataFrame, what: str) -> DataFrame:
         for side in ("a", "b"):
             part = sets.select(F.col("node").alias(side), F.col(what).alias(f"_{side}"), F.size("tokens").alias(f"_n{side}"))
-            rows = rows.join(part, side)
+            rows = rows.join(part.hint("merge"), side)
         return rows
 
     plausible = F.arrow_udf(_finely_plausible, "boolean")
@@ -427,7 +475,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = info.filter("size > 0 and doc is not null").select("doc", "node", "size", "cells")
     cells = sets.groupBy("node").agg(F.any_value("cells").alias("cells"), F.any_value("size").alias("size"))
 
-    found = stored(_collisions(_signature_rows(texts.filter("doc is not null"), plan, 4 * partitions(spark))), "collisions")
+    indexed = texts.filter("doc is not null")
+    turns = [stored(_collisions(_signature_rows(indexed, plan, 4 * partitions(spark), turn, ROUNDS)), "collisions") for turn in range(ROUNDS)]
+    found = reduce(DataFrame.unionAll, turns)
     members, shared = found.filter("g is not null"), found.filter("g is null")
     lost = stored(members.groupBy("node", "band").agg(F.sum("units").alias("lost"), F.max("spare").alias("spare")), "lost")
     tight = lost.filter("lost > spare").select("node", "band", (F.col("lost") - F.col("spare")).alias("owed"))
