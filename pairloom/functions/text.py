@@ -49,13 +49,17 @@ def plain_spaces(c: ColumnOrName) -> Column:
     """Every white-space character replaced by a blank.
 
     Substring searches run on the raw bytes and tell which texts need the regex at all:
-    few hold anything but blanks and line breaks.
+    few hold anything but blanks and line breaks. An expression is evaluated once, not for
+    every search.
     """
-    c = col(c)
-    rare = reduce(or_, [F.contains(c, F.lit(ch)) for ch in ASCII_SPACES + OTHER_SPACES if ch.isascii() and ch not in " \n"])
-    wide = _array([ch for ch in OTHER_SPACES if not ch.isascii()])
-    odd = rare | ((F.octet_length(c) > F.length(c)) & F.exists(wide, lambda ch: F.contains(c, ch)))
-    return F.when(odd, F.regexp_replace(c, ANY_SPACE, " ")).otherwise(F.replace(c, F.lit("\n"), F.lit(" ")))
+
+    def plain(c: Column) -> Column:
+        rare = reduce(or_, [F.contains(c, F.lit(ch)) for ch in ASCII_SPACES + OTHER_SPACES if ch.isascii() and ch not in " \n"])
+        wide = _array([ch for ch in OTHER_SPACES if not ch.isascii()])
+        odd = rare | ((F.octet_length(c) > F.length(c)) & F.exists(wide, lambda ch: F.contains(c, ch)))
+        return F.when(odd, F.regexp_replace(c, ANY_SPACE, " ")).otherwise(F.replace(c, F.lit("\n"), F.lit(" ")))
+
+    return let(c, plain)
 
 
 def strip(c: ColumnOrName) -> Column:
