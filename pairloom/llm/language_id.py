@@ -19,13 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.llm import scan
+from pairloom.llm.tables import small_batches
 
 DIM = 1024
 NO_LANGUAGE = "und"
 #: Prototypes go to every executor; more languages than this are refused.
 MAX_LANGUAGES = 4096
 DOCS_AT_ONCE = 64
-GRAMS_AT_ONCE = 8192
+GRAMS_AT_ONCE = 4096
+#: Bytes of text whose runs are counted at once; their arrays take some hundred times as much.
+TEXT_BYTES = 1 << 18
+#: Up to so many possible runs are counted in an array, more are sorted.
+COUNTED_RUNS = 1 << 20
 SEED = 11
 
 
@@ -68,7 +73,7 @@ class Grams:
         run = (small[:-2] * base + small[1:-1]) * base + small[2:]
         whole = codes[1:-1] != 0
         run, self.row = run[whole], row[1:-1][whole]
-        if base**3 <= 4_000_000:
+        if base**3 <= COUNTED_RUNS:
             seen = np.flatnonzero(np.bincount(run, minlength=1))
             number = np.zeros(base**3, np.int64)
             number[seen] = np.arange(len(seen))
@@ -96,7 +101,7 @@ class Grams:
 
 def _parts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     _, offsets = scan.utf8(column)
-    for i, j in scan.blocks(offsets):
+    for i, j in scan.blocks(offsets, TEXT_BYTES):
         yield i, column.slice(i, j - i).to_pylist()
 
 
@@ -125,7 +130,8 @@ def train_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     parts = rows.mapInArrow(partial, "lang string, bundle array<double>")
     summed = parts.select("lang", F.posexplode("bundle").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     whole = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    found = whole.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    with small_batches(docs.sparkSession):
+        found = whole.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     out = {}
@@ -190,7 +196,9 @@ def score_floors(found: DataFrame, share: float = 0.25) -> dict[int, float]:
     each length has its own floor; lengths without such texts, and those below
     ``LEAST_LETTERS``, have none. At most 32 numbers reach the driver."""
     rows = found.filter(F.col("letters") >= 1 << LEAST_LETTERS).groupBy(F.floor(F.log2("letters")).alias("length"))
-    return {r.length: r.middle * share for r in rows.agg(F.percentile_approx("score", 0.5, 10_000).alias("middle")).collect()}
+    with small_batches(found.sparkSession):
+        middles = rows.agg(F.percentile_approx("score", 0.5, 10_000).alias("middle")).collect()
+    return {r.length: r.middle * share for r in middles}
 
 
 def reaches(floors: dict[int, float]) -> Column:
