@@ -20,7 +20,17 @@ _LETTER = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = {}
+
+
+class _Tables(dict):
+    """Tables of the process that makes them. Functions of this package travel with their
+    modules' values, and the driver's tables would go along with each of them."""
+
+    def __reduce__(self):
+        return type(self), ()
+
+
+_powers = _Tables()
 
 
 def _power(base: int, n: int) -> np.ndarray:
