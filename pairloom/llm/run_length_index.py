@@ -25,6 +25,8 @@ from pairloom.llm.tables import partitions, stored
 
 WINDOW, SEED = 100, 24
 STRINGS_AT_ONCE = 8192
+#: Parts of the places that a window can have around its anchor; see ``may_share``.
+PARTS = 4
 RESULT = "n_bytes long, n_removed long, runs array<struct<start:int,end:int>>, kept binary"
 
 
@@ -216,9 +218,41 @@ def _open_strings(batches: Iterator[pa.RecordBatch], cut: anchors.Cut) -> Iterat
             )
 
 
-def _query_indexes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def may_share(h: np.ndarray, strings: list[bytes], window: int, seed: int) -> np.ndarray:
+    """Which strings may share a window with another string around the same anchor.
+
+    A window holds its anchor, and equal windows hold it at the same place. These places are
+    cut into ``PARTS``; all windows of a part have the bytes in common that lie between the
+    latest start and the earliest end around the anchor. A string shares no window of a part
+    unless another one has those bytes too. The anchor is the first run of ``seed`` bytes with
+    the hash; a string without one stays.
+    """
+    lengths = np.array([len(s) for s in strings], np.int64)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    sums = scan.Sums(np.frombuffer(b"".join(strings), np.uint8))
+    anchor = h.astype(np.int64).view(np.uint64)
+    there = np.flatnonzero(sums.every(seed) == np.repeat(anchor, lengths)[: len(sums.sums) - seed])
+    at = np.append(there, ends[-1])[np.searchsorted(there, starts)]
+    may = at + seed > ends
+    edges = np.linspace(0, window - seed + 1, PARTS + 1).astype(np.int64).tolist()
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        a, b = at - low, at + window + 1 - high
+        mine = np.flatnonzero((a >= starts) & (b <= ends))
+        key = scan.mix(sums.of(a[mine], b[mine]) ^ anchor[mine])
+        order = np.argsort(key)
+        same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        may[mine[order[same]]] = may[mine[order[same + 1]]] = True
+    return may
+
+
+def _query_indexes(batches: Iterator[pa.RecordBatch], window: int, seed: int) -> Iterator[pa.RecordBatch]:
     """Spans of repeated windows among strings that come sorted by anchor and place."""
-    for h, doc, pos, n, strings in anchors.sorted_groups(batches, STRINGS_AT_ONCE):
+    for h, *columns in anchors.sorted_groups(batches, STRINGS_AT_ONCE):
+        may = may_share(h, columns[-1].tolist(), window, seed)
+        if not may.any():
+            continue
+        h, doc, pos, n, strings = (x[may] for x in (h, *columns))
         n = n.astype(np.int64)
         group = np.cumsum(np.diff(h, prepend=h[0]) != 0)
         marks = later_windows(group, strings.tolist(), n, window)
@@ -280,7 +314,7 @@ def remove_repeated_bytes(
         yield from _open_strings(batches, cut)
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _query_indexes(batches, window)
+        yield from _query_indexes(batches, window, seed)
 
     def cut_texts(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield from _cut(columns, window)
