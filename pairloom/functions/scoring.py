@@ -1,9 +1,13 @@
-"""Quality gates and scores as built-in expressions."""
+"""Quality gates and scores as built-in expressions, but for long vocabularies (``_one_pass``)."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from pairloom import fixed
@@ -79,6 +83,27 @@ def basic_quality(
 
 # More categories than this do not raise the relevance.
 ENOUGH_CATEGORIES = 3
+# From so many keywords on, a text is searched once for each category.
+MANY_KEYWORDS = 32
+
+
+def _one_pass(filled: list[tuple[int, list[str]]]):
+    """Bits of the categories that a text has. A category's keywords are one pattern without
+    backtracking, while a search of its own for each keyword reads the text as often."""
+    patterns = [(bit, "|".join(re.escape(t) for t in terms)) for bit, terms in filled]
+
+    def search(texts: pa.Array) -> pa.Array:
+        bits = np.zeros(len(texts), np.int32)
+        left, rest = np.arange(len(texts)), texts.cast(pa.binary())
+        for bit, pattern in patterns:
+            hit = pc.match_substring_regex(rest, pattern).fill_null(False).to_numpy(zero_copy_only=False)
+            bits[left[hit]] |= bit
+            on = np.bitwise_count(bits[left]) < ENOUGH_CATEGORIES
+            if not on.all():
+                left, rest = left[on], rest.filter(pa.array(on))
+        return pa.array(bits)
+
+    return F.arrow_udf(search, "int").asNondeterministic()
 
 
 def category_bits(lowered: ColumnOrName, categories: Sequence[Sequence[str]]) -> Column:
@@ -87,6 +112,8 @@ def category_bits(lowered: ColumnOrName, categories: Sequence[Sequence[str]]) ->
     filled = [(1 << i, list(terms)) for i, terms in enumerate(categories) if terms]
     if not filled:
         return F.lit(0)
+    if sum(len(terms) for _, terms in filled) >= MANY_KEYWORDS:
+        return _one_pass(filled)(col(lowered))
     listed = F.array(
         *[F.struct(F.lit(bit).alias("bit"), F.array(*[F.lit(t) for t in terms]).alias("terms")) for bit, terms in filled]
     )
