@@ -31,16 +31,19 @@ def greedy(ids: list[int], features: list[np.ndarray], bonus: list[float], n: in
     """
     waiting = [(-(len(f) + b), i, p) for p, (i, f, b) in enumerate(zip(ids, features, bonus, strict=True))]
     heapq.heapify(waiting)
-    covered: set[int] = set()
+    # Features by number, so that a row's are looked up at once.
+    ends = np.cumsum([0, *map(len, features)])
+    names, number = np.unique(np.concatenate([*features, np.empty(0, np.int64)]), return_inverse=True)
+    fresh = np.ones(len(names), bool)
     chosen: list[tuple[int, float]] = []
     while waiting and len(chosen) < n:
         _, id_, place = heapq.heappop(waiting)
-        new = [x for x in features[place].tolist() if x not in covered]
-        now = (-(len(new) + bonus[place]), id_, place)
+        own = number[ends[place] : ends[place + 1]]
+        now = (-(np.count_nonzero(fresh[own]) + bonus[place]), id_, place)
         if waiting and now > waiting[0]:
             heapq.heappush(waiting, now)
             continue
-        covered.update(new)
+        fresh[own] = False
         chosen.append((place, -now[0]))
     return chosen
 
