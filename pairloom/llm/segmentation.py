@@ -31,14 +31,21 @@ BLOCK_CHARS = 1 << 18
 #: Ids that are spelled with one index array.
 SPELLED = 1 << 16
 FILTER_BITS = 20
+#: Steps up to one more than this are told apart together, longer ones one by one.
+SHORT = 3
 #: A piece of rank r has weight 1 / (r + FLATTEN); the model's scores are minus the ranks.
 FLATTEN = 10.0
 BYTES_LEFT = -1
-NO_PIECE, SEVERAL = -1, -2
+NO_PIECE, SEVERAL = 0, 1
+#: A set of paths whose prefix is less likely than FAR_OFF has a value below TOO_LOW, as a drawn
+#: Gumbel variable is 36.8 at most.
+FAR_OFF, TOO_LOW, SLACK = -45.0, -8.0, 1e-3
+#: The largest single-precision number below 1.
+BELOW_ONE = np.nextafter(np.float32(1), np.float32(0))
 
 SAMPLES = "array<struct<ids:array<int>,log_prob:double,gumbel:double,inclusion:double>>"
 DECODED_SAMPLES = SAMPLES.replace("inclusion:double", "inclusion:double,decoded_sha256:string,round_trip:boolean")
-_SPREAD = 0xC2B2AE3D27D4EB4F
+_SPREAD, _STRIDE = 0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15
 _BASE, _BACK = 0xA0761D6478BD642F, pow(0xA0761D6478BD642F, -1, 2**64)
 
 
@@ -75,29 +82,31 @@ class Vocabulary:
         self.hashes, self.ids = hashes[order], np.array(ids, np.int32)[order]
         self.weights = -np.log(FLATTEN - np.array(scores))[order]
         self.byte_weight = float(self.weights.min()) - 1.0
-        # By the top bits of a hash: the piece, if there is one only, and whether pieces go on.
+        self.hash_of, self.weight_of = np.zeros(n, np.uint64), np.full(n + 1, -np.inf, np.float32)
+        self.hash_of[self.ids], self.weight_of[self.ids] = self.hashes, self.weights
+        # By the top bits of a hash: the piece, if there is one only, and, as the lowest bit, whether pieces go on.
         place = (self.hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
         alone = np.bincount(place, minlength=1 << FILTER_BITS)[place] == 1
-        self.slot = np.full(1 << FILTER_BITS, NO_PIECE, np.int32)
-        self.slot[place] = np.where(alone, np.arange(len(place)), SEVERAL)
+        self.slot = np.full(1 << FILTER_BITS, NO_PIECE << 1, np.int32)
+        self.slot[place] = np.where(alone, self.ids + SEVERAL + 1, SEVERAL) << 1
         longer = np.array([self._hash(p) for p in {p[:k] for p in pieces for k in range(1, len(p))}], np.uint64)
-        self.goes_on = np.zeros(1 << FILTER_BITS, bool)
-        self.goes_on[longer >> np.uint64(64 - FILTER_BITS)] = True
+        self.slot[longer >> np.uint64(64 - FILTER_BITS)] |= 1
 
     @staticmethod
     def _hash(piece: str) -> int:
         codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
         return int(_slices(_prefix(codes), scan._power(_BACK, len(codes)), np.zeros(1, np.int64), len(codes))[0])
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are pieces, and the numbers of those pieces."""
-        at = self.slot[h >> np.uint64(64 - FILTER_BITS)]
-        some = np.flatnonzero(at != NO_PIECE)
-        number, h = at[some], h[some]
-        unclear = np.flatnonzero(number == SEVERAL)
-        number[unclear] = np.minimum(np.searchsorted(self.hashes, h[unclear]), len(self.hashes) - 1)
-        right = self.hashes[number] == h
-        return some[right], number[right]
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the hashes may be pieces, the ids of those pieces, -1 for what is none, and
+        after which hashes longer pieces may go on."""
+        slot = self.slot.take((h >> np.uint64(64 - FILTER_BITS)).view(np.int64))
+        some = np.flatnonzero(slot > (NO_PIECE << 1 | 1))
+        number, h = (slot.take(some) >> 1) - (SEVERAL + 1), h.take(some)
+        unclear = np.flatnonzero(number < 0)
+        number[unclear] = self.ids[np.minimum(np.searchsorted(self.hashes, h[unclear]), len(self.hashes) - 1)]
+        number[self.hash_of.take(number) != h] = -1
+        return some, number, np.flatnonzero((slot & 1).astype(bool))
 
 
 class Lattice:
@@ -109,33 +118,31 @@ class Lattice:
     """
 
     def __init__(self, sums: np.ndarray, back: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary):
-        order = np.argsort(-lengths, kind="stable")
-        self.rank = np.empty(len(order), np.int64)
+        longest = int(lengths.max(initial=0))
+        order = np.argsort((longest - lengths).astype(np.min_scalar_type(longest)), kind="stable")
+        self.rank = np.empty(len(order), np.int32)
         self.rank[order] = np.arange(len(order))
         ends, lengths = (starts + lengths)[order], lengths[order]
-        longest = int(lengths.max(initial=0))
         count = np.searchsorted(-lengths, -np.arange(longest + 1), side="right")
         self.level = np.concatenate([[0], np.cumsum(count)])
         n, level = int(self.level[-1]), self.level.tolist()
         distance = np.repeat(np.arange(longest + 1), count)
         self.place = ends[np.arange(n) - self.level[distance]] - distance
 
-        live, fits = np.arange(level[1], n), []
-        begin, scale = sums[self.place[live]], back[self.place[live]] * np.uint64(_SPREAD)
+        live, at, fits = np.arange(level[1], n), self.place[level[1] :], []
+        begin, scale = sums.take(at), back.take(at) * np.uint64(_SPREAD)
         for size in range(1, min(vocabulary.longest, longest) + 1):
             inside = int(np.searchsorted(live, level[size]))  # the others are too near the end
-            live, begin, scale = live[inside:], begin[inside:], scale[inside:]
-            h = (sums[self.place[live] + size] - begin) * scale
-            some, number = vocabulary.find(h)
-            fits.append((live[some], number))
-            on = np.flatnonzero(vocabulary.goes_on[h >> np.uint64(64 - FILTER_BITS)])
-            live, begin, scale = live[on], begin[on], scale[on]
-        width = max([1, *(size for size, (where, _) in enumerate(fits, 1) if len(where))])
+            live, at, begin, scale = live[inside:], at[inside:], begin[inside:], scale[inside:]
+            some, number, on = vocabulary.find((sums.take(at + size) - begin) * scale)
+            fits.append((live.take(some), number))
+            live, at, begin, scale = live.take(on), at.take(on), begin.take(on), scale.take(on)
+        width = max([1, *(size for size, (_, number) in enumerate(fits, 1) if (number >= 0).any())])
         self.ids = np.zeros((width, n), np.int32)
         weight = np.full((width, n), -np.inf, np.float32)
         for size, (where, number) in enumerate(fits[:width]):
-            self.ids[size, where] = vocabulary.ids[number]
-            weight[size, where] = vocabulary.weights[number]
+            self.ids[size][where] = number
+            weight[size][where] = vocabulary.weight_of.take(number)
         alone = level[1] + np.flatnonzero(np.isneginf(weight[0, level[1] :])) if longest else np.empty(0, np.int64)
         if len(alone):  # no piece for this character: its bytes, as one step
             c = codes[self.place[alone]]
@@ -156,21 +163,25 @@ class Lattice:
             whole = value.sum(axis=0)
             total[a:b] = after + top + np.log(whole)
             np.divide(value, whole, out=self.prob[:reach, a:b])
-        sums_up = self.prob.copy()
+        self.sums = self.prob.copy()
         for size in range(1, width):
-            np.add(sums_up[size - 1], self.prob[size], out=sums_up[size])
-        self.total = sums_up[-1].copy()
-        others = np.zeros((width, n), np.float32)
-        for size in range(width - 2, -1, -1):
-            np.add(others[size + 1], self.prob[size + 1], out=others[size])
-        others[1:] += sums_up[:-1]
-        self.sums, self.others = np.ascontiguousarray(sums_up.T), others
-        self.ones = np.ones(width, np.float32)
+            self.sums[size] += self.sums[size - 1]
 
+    def others(self, size: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The probability of all steps from the nodes but the given ones."""
+        out = np.zeros(len(node), np.float32)
+        for longer in range(len(self.prob) - 1, 0, -1):
+            out += np.where(size < longer, self.prob[longer].take(node), np.float32(0))
+        return out + np.where(size > 0, self.sums[size - 1, node], np.float32(0))
 
-def _uniform(seed: np.ndarray, place: np.ndarray, round_: int) -> np.ndarray:
-    h = scan.mix(seed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((round_ * 0xD1342543DE82EF95) % 2**64))
-    return ((h >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+def _uniform(place: np.ndarray, round_: int) -> np.ndarray:
+    h = scan.mix(place + np.uint64((round_ * 0xD1342543DE82EF95) % 2**64))
+    h >>= np.uint64(12)
+    u = h.astype(np.float64)
+    u += 0.5
+    u *= 2.0**-52
+    return u
 
 
 class Block:
@@ -178,88 +189,116 @@ class Block:
 
     def __init__(self, texts: list[str], seeds: np.ndarray, vocabulary: Vocabulary):
         marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
-        self.seeds, self.n = seeds, len(texts)
+        self.n = len(texts)
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in marked])]).astype(np.int64)
         codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+        self.size, self.codes = len(codes), codes
         space = codes == ord(SPACE)
-        first = np.zeros(len(codes), bool)
-        first[1:] = space[1:] & ~space[:-1]
-        first[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
-        self.starts = np.flatnonzero(first)
+        first = np.zeros(len(codes) + 1, bool)
+        first[1:-1] = space[1:] & ~space[:-1]
+        first[self.offsets] = True
+        self.starts, self.inside = np.flatnonzero(first[:-1]), ~first
         self.ends = np.append(self.starts[1:], len(codes))[: len(self.starts)]
         lengths = self.ends - self.starts
         sums, back = _prefix(codes), scan._power(_BACK, len(codes))
-        _, some, kind = np.unique(_slices(sums, back, self.starts, lengths), return_index=True, return_inverse=True)
+        # Different words in the order of the text, so that what follows reads it in order.
+        kind = pa.array(_slices(sums, back, self.starts, lengths)).dictionary_encode().indices.to_numpy()
+        some = np.empty(int(kind.max(initial=-1)) + 1, np.int64)
+        some[kind[::-1]] = np.arange(len(kind))[::-1]
         self.lattice = Lattice(sums, back, codes, self.starts[some], lengths[some], vocabulary)
-        self.text_of = np.repeat(np.arange(self.n), np.diff(self.offsets))
-        self.size, self.codes = len(codes), codes
-        self.node = self.lattice.level[np.repeat(self.ends, lengths) - np.arange(self.size)] + np.repeat(self.lattice.rank[kind], lengths)
-
-    def walk(self, word: np.ndarray, at: np.ndarray, avoid: dict[int, np.ndarray], round_: int, step: np.ndarray, log_p: np.ndarray) -> None:
-        """Draw steps from each position to the end of its word. ``avoid`` has the steps
-        that may not be taken at some positions."""
+        to_end = np.repeat(self.ends, lengths) - np.arange(self.size)
+        self.node = self.lattice.level.astype(np.int32).take(to_end) + np.repeat(self.lattice.rank.take(kind), lengths)
+        # Which uniform numbers belong to a position, and to a text as a whole.
+        self.key = np.repeat(seeds - self.offsets[:-1].astype(np.uint64) * np.uint64(_STRIDE), np.diff(self.offsets))
+        self.key += np.arange(self.size, dtype=np.uint64) * np.uint64(_STRIDE)
+        self.text_key = seeds + np.uint64((_STRIDE << 40) % 2**64)
+
+    def walk(self, at: np.ndarray, cut: np.ndarray, avoid: np.ndarray, round_: int, step: np.ndarray) -> None:
+        """Draw steps from each position to the end of its word. ``avoid`` has for each text
+        the steps that may not be taken at its cut."""
         lattice = self.lattice
+        *partial, whole = lattice.sums
         for first in (True, False):
             while len(at):
-                node, text = self.node[at], self.text_of[at]
-                u = _uniform(self.seeds[text], at - self.offsets[text], 2 * round_).astype(np.float32)
-                whole = lattice.total[node]
-                # How many partial sums lie at or below the drawn value; a product counts faster.
-                below = lattice.sums[node] <= np.minimum(u * whole, np.nextafter(whole, np.float32(0)))[:, None]
-                size = (below.view(np.uint8).astype(np.float32) @ lattice.ones).astype(np.int64)
-                if first and avoid:
-                    places = np.array(sorted(avoid))
-                    i = np.searchsorted(at, places)
-                    row = np.where(np.stack([avoid[p] for p in places.tolist()]), 0, lattice.prob[:, node[i]].T)
-                    sums = np.cumsum(row, axis=1)
+                node = self.node.take(at).astype(np.int64)
+                u = np.minimum(_uniform(self.key.take(at), 2 * round_).astype(np.float32), BELOW_ONE)
+                drawn = u * whole.take(node)  # below the whole
+                # How many partial sums lie at or below the drawn value; few steps are long.
+                step_at, below = np.ones(len(at), np.uint8), np.zeros(len(at), bool)
+                for sums in partial[:SHORT]:
+                    below = sums.take(node) <= drawn
+                    step_at += below
+                longer = np.flatnonzero(below)
+                for sums in partial[SHORT:]:
+                    longer = longer[sums.take(node.take(longer)) <= drawn.take(longer)]
+                    if not len(longer):
+                        break
+                    step_at[longer] += 1
+                if first and avoid.any():
+                    some = np.flatnonzero(avoid.any(axis=1))
+                    i = np.searchsorted(at, cut[some])
+                    sums = np.cumsum(np.where(avoid[some], 0, lattice.prob[:, node[i]].T), axis=1)
                     below = np.minimum(u[i] * sums[:, -1], np.nextafter(sums[:, -1], np.float32(0)))
-                    size[i] = np.argmax(sums > below[:, None], axis=1)
-                step[at] = size + 1
-                log_p[at] = np.log(lattice.prob[size, node])
-                at = at + size + 1
-                on = at < self.ends[word]
-                word, at = word[on], at[on]
+                    step_at[i] = np.argmax(sums > below[:, None], axis=1) + 1
+                step[at] = step_at
+                at = at + step_at
+                at = at[self.inside.take(at)]
                 if first:
                     break
 
-    def sample(self, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """k rounds of (which texts have a path, step per position, log-probability, perturbed
-        value), and one of which only the value of the next path holds."""
-        width = len(self.lattice.prob)
-        word_text = self.text_of[self.starts]
-        step, log_p = np.zeros(self.size, np.uint8), np.zeros(self.size)
-        self.walk(np.arange(len(self.starts)), self.starts, {}, 0, step, log_p)
-        value = -np.log(-np.log(_uniform(self.seeds, np.full(self.n, 2**40), 1)))
+    def sample(self, k: int) -> list[tuple[np.ndarray, ...]]:
+        """k rounds of (which texts have a path, log-probability, perturbed value, where steps
+        begin, their places in the lattice's flat arrays, the first step per text), and one of
+        which only the value of the next path holds."""
+        width, n_nodes = self.lattice.prob.shape
+        prob = self.lattice.prob.ravel()
+        word_text = np.searchsorted(self.offsets, self.starts, side="right") - 1
+        cut, avoid = self.offsets[:-1], np.zeros((self.n, width), bool)
+        step = np.zeros(self.size, np.uint8)
+        self.walk(self.starts, cut, avoid, 0, step)
+        value = -np.log(-np.log(_uniform(self.text_key, 1)))
         alive = np.ones(self.n, bool)
-        cut, avoid = self.offsets[:-1].copy(), {}
         paths, left = [], []
         for round_ in range(k + 1):
-            at = np.flatnonzero(step)
-            text = self.text_of[at]
-            log_at = log_p[at]
-            total = np.bincount(text, log_at, minlength=self.n)
-            paths.append((alive, step, total, np.where(alive, value, -np.inf)))
+            every = np.flatnonzero(step != 0)
+            flat = (step.take(every).astype(np.int64) - 1) * n_nodes + self.node.take(every)
+            log_p = np.log(prob.take(flat)).astype(np.float64)
+            bounds = np.searchsorted(every, self.offsets)
+            count = np.diff(bounds)
+            owner = np.repeat(np.arange(self.n), count)
+            total = np.bincount(owner, log_p, minlength=self.n)
+            paths.append((alive, total, np.where(alive, value, -np.inf), every, flat, bounds))
             if round_ == k:
                 break
             # What is left of the opened set: one set per step of the path from the cut on.
-            before = np.cumsum(log_at) - log_at
-            firsts = np.flatnonzero(np.diff(text, prepend=-1))
-            base = np.zeros(self.n)
-            base[text[firsts]] = before[firsts]
-            node = self.node[at]
-            with np.errstate(divide="ignore"):
-                rest = np.log(self.lattice.others[step[at].astype(int) - 1, node].astype(np.float64))
-            for p, mask in avoid.items():
-                i = np.searchsorted(at, p)
-                row = np.where(mask, 0, self.lattice.prob[:, node[i]])
-                row[step[p] - 1] = 0
-                rest[i] = np.log(row.sum()) if row.any() else -np.inf
-            with np.errstate(divide="ignore"):
-                mass = before - base[text] + rest
-                u = _uniform(self.seeds[text], at - self.offsets[text], 2 * round_ + 1)
-                drawn = mass - np.logaddexp(mass - value[text], np.log(-np.log(u)))
-            drawn[np.isneginf(mass) | (at < cut[text]) | ~alive[text]] = -np.inf
-            left.append((at, text, firsts, drawn, step, log_at, cut, avoid))
+            before = np.cumsum(log_p) - log_p
+            before -= np.repeat(np.append(before, 0)[bounds[:-1]], count)
+            whole = np.zeros(self.n, bool)
+            while True:
+                near = np.flatnonzero((before > FAR_OFF) | whole.take(owner) if whole.any() else before > FAR_OFF)
+                gumbel = -np.log(-np.log(_uniform(self.key.take(every.take(near)), 2 * round_ + 1)))
+                likely = np.flatnonzero((gumbel + before.take(near) > TOO_LOW - SLACK) | whole.take(owner.take(near)))
+                near, gumbel = near.take(likely), gumbel.take(likely)
+                at, text = every.take(near), owner.take(near)
+                firsts = np.flatnonzero(np.diff(text, prepend=-1))
+                node = self.node.take(at)
+                taken = step.take(at).astype(np.int64) - 1
+                with np.errstate(divide="ignore"):
+                    rest = np.log(self.lattice.others(taken, node).astype(np.float64))
+                    i = np.flatnonzero((at == cut[text]) & avoid.any(axis=1)[text])
+                    row = np.where(avoid[text[i]], np.float32(0), self.lattice.prob[:, node[i]].T)
+                    row[np.arange(len(i)), taken[i]] = 0
+                    rest[i] = np.log(np.ascontiguousarray(row).sum(axis=1))
+                    mass = before.take(near) + rest
+                    drawn = mass - np.logaddexp(mass - value[text], -gumbel)
+                drawn[np.isneginf(mass) | (at < cut[text]) | ~alive[text]] = -np.inf
+                # The sets that were left out count where so few others are likely that one could be opened.
+                few = np.bincount(text, drawn > TOO_LOW, minlength=self.n) < k - round_
+                few &= np.bincount(text, minlength=self.n) < count
+                if not few.any():
+                    break
+                whole |= few
+            left.append((at, text, firsts, drawn, step, cut, avoid, every, bounds))
             # Open the best set of each text over all rounds so far.
             best, which, where = np.full(self.n, -np.inf), np.zeros(self.n, int), np.zeros(self.n, np.int64)
             for r, (_, text_r, firsts_r, drawn_r, *_) in enumerate(left):
@@ -268,42 +307,35 @@ class Block:
                 top = np.full(self.n, -np.inf)
                 top[text_r[firsts_r]] = np.maximum.reduceat(drawn_r, firsts_r)
                 hit = np.flatnonzero((drawn_r == top[text_r]) & (drawn_r > best[text_r]))
-                owner, i = np.unique(text_r[hit], return_index=True)
-                best[owner], which[owner], where[owner] = top[owner], r, hit[i]
+                mine, i = np.unique(text_r[hit], return_index=True)
+                best[mine], which[mine], where[mine] = top[mine], r, hit[i]
             alive, value = best > -np.inf, best
             if round_ == k - 1:  # of what follows the sample only the value counts, as its threshold
-                paths.append((alive, step, total, np.where(alive, value, -np.inf)))
+                paths.append((alive, total, np.where(alive, value, -np.inf)))
                 break
-            new_avoid, new_cut = {}, cut.copy()
-            step, log_p = np.zeros(self.size, np.uint8), np.zeros(self.size)
-            for r, (at_r, text_r, _, drawn_r, step_r, log_r, cut_r, avoid_r) in enumerate(left):
+            new_avoid, new_cut = np.zeros_like(avoid), cut.copy()
+            step = np.zeros(self.size, np.uint8)
+            for r, (at_r, _, _, drawn_r, step_r, cut_r, avoid_r, every_r, bounds_r) in enumerate(left):
                 mine = np.flatnonzero(alive & (which == r))
-                if not len(mine):
-                    continue
                 drawn_r[where[mine]] = -np.inf
                 q = at_r[where[mine]]
                 new_cut[mine] = q
-                for t, p in zip(mine.tolist(), q.tolist(), strict=True):
-                    mask = np.zeros(width, bool)
-                    mask[step_r[p] - 1] = True
-                    if p == cut_r[t] and p in avoid_r:
-                        mask |= avoid_r[p]
-                    new_avoid[p] = mask
-                until = np.zeros(self.n, np.int64)
-                until[mine] = q
-                same = np.flatnonzero(at_r < until[text_r])
-                step[at_r[same]], log_p[at_r[same]] = step_r[at_r[same]], log_r[same]
+                new_avoid[mine] = avoid_r[mine] & (q == cut_r[mine])[:, None]
+                new_avoid[mine, step_r[q].astype(np.int64) - 1] = True
+                # The steps before the cut stay.
+                begin = bounds_r[mine]
+                stay = np.searchsorted(every_r, q) - begin
+                same = every_r[np.arange(stay.sum()) + np.repeat(begin - np.cumsum(stay) + stay, stay)]
+                step[same] = step_r[same]
             cut, avoid = new_cut, new_avoid
             q = cut[word_text]
             fresh = np.flatnonzero(alive[word_text] & (self.ends > q))
-            self.walk(fresh, np.maximum(self.starts[fresh], q[fresh]), avoid, round_ + 1, step, log_p)
+            self.walk(np.maximum(self.starts[fresh], q[fresh]), cut, avoid, round_ + 1, step)
         return paths
 
-    def ids(self, step: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, at: np.ndarray, flat: np.ndarray, firsts: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """All ids of one round's paths, and where each text's ids start."""
-        at = np.flatnonzero(step)
-        ids = self.lattice.ids[step[at].astype(int) - 1, self.node[at]]
-        firsts = np.searchsorted(at, self.offsets)
+        ids = self.lattice.ids.ravel().take(flat)
         odd = np.flatnonzero(ids == BYTES_LEFT)
         if len(odd):
             letters, which = np.unique(self.codes[at[odd]], return_inverse=True)
@@ -321,8 +353,8 @@ class Block:
 def sample_block(texts: list[str | None], seeds: np.ndarray, k: int, vocabulary: Vocabulary) -> pa.Array:
     block = Block([t or "" for t in texts], seeds, vocabulary)
     paths = block.sample(k)
-    drawn = [block.ids(p[1], vocabulary) for p in paths[:k]]
-    threshold = paths[k][3]
+    drawn = [block.ids(*p[3:], vocabulary) for p in paths[:k]]
+    threshold = paths[k][2]
     flat, sizes, numbers, counts = [], [], [], []
     for t, text in enumerate(texts):
         have = [r for r in range(k) if paths[r][0][t]] if text is not None else []
@@ -331,9 +363,9 @@ def sample_block(texts: list[str | None], seeds: np.ndarray, k: int, vocabulary:
             part = ids[firsts[t] : firsts[t + 1]]
             flat.append(part)
             sizes.append(len(part))
-            log_p = float(paths[r][2][t])
+            log_p = float(paths[r][1][t])
             inclusion = float(-np.expm1(-np.exp(min(700.0, log_p - threshold[t])))) if threshold[t] > -np.inf else 1.0
-            numbers.append((log_p, float(paths[r][3][t]), inclusion))
+            numbers.append((log_p, float(paths[r][2][t]), inclusion))
         counts.append(len(have))
     ids = pa.ListArray.from_arrays(
         pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
